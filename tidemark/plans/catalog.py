@@ -1,0 +1,10 @@
+"""Registry of the library's queries and of the SQL that says the same."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+QUERIES: dict[str, Callable[..., DataFrame]] = {}
+ORACLES: dict[str, str] = {}
