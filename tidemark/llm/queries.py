@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from tidemark.llm.decontaminate import OP1_SQL, op1_decontaminate
 from tidemark.llm.media import op4_media
+from tidemark.llm.mixing import OP10_SQL, op10_mix
+from tidemark.llm.sharding import op2_shard
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op4_media": op4_media}
-ORACLES = {"op1_decontaminate": OP1_SQL}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_shard": op2_shard, "op4_media": op4_media, "op10_mix": op10_mix}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op10_mix": OP10_SQL}
