@@ -9,8 +9,8 @@ accidental register collisions, drops the hopeless, and the full sets decide.
 
 Large groups of copies share bands in whole.  Instead of all pairs, each class is first compared with the smallest and
 the greatest class of its band; the links found merge classes into components.  Only bands that still hold several
-components go on: there, the classes outside the band's largest component are compared with the rest, sketches in
-blocks, and what passes is verified.  No band is cut or dropped.
+components go on: there, the classes outside the band's largest component are compared with the rest in blocks,
+first by sketch, then by the full sets of those with hope.  No band is cut or dropped, and only links leave a block.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ SMALLEST_LARGE, LARGEST_SMALL = 192, 256
 #: Estimates this far below the threshold are dropped: four standard errors, sqrt(0.75 * 0.25 / 128) each.
 MARGIN = 0.153
 CHUNK_BYTES = 4_000_000
-#: Classes of one band whose sketches meet in one block.
+#: Classes of one band that meet in one block.
 BLOCK = 1024
+#: And the shingles of a block's classes (8 bytes each), so that long documents make smaller blocks.
+BLOCK_SHINGLES = 1_000_000
 #: Document ids up to this many (8 bytes each) are broadcast to fetch texts; beyond, the join shuffles.
 BROADCAST_IDS = 200_000
 
@@ -87,15 +89,17 @@ def sketch(s: np.ndarray) -> tuple[bytes | None, bytes | None]:
     return small, large
 
 
-def band_keys(small: bytes | None, large: bytes | None) -> np.ndarray:
-    """64-bit keys of the bands of both sketches; a band of empty registers has none."""
-    out = []
+def band_keys(small: bytes | None, large: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the bands of both sketches and the bands' places, BANDS for each kind; a band of empty registers has none."""
+    keys, places = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
     for kind, regs in enumerate((small, large)):
         if regs is not None:
             bands = np.frombuffer(regs, dtype=np.uint64)
-            keys = mix(bands + mix(np.arange(BANDS, dtype=np.uint64) + U(1 + kind * BANDS)))
-            out.append(keys[bands != U(0xFFFFFFFFFFFFFFFF)])
-    return np.concatenate(out) if out else np.empty(0, dtype=np.uint64)
+            place = kind * BANDS + np.arange(BANDS)
+            full = bands != U(0xFFFFFFFFFFFFFFFF)
+            keys.append(mix(bands + mix(place.astype(np.uint64) + U(1)))[full])
+            places.append(place[full])
+    return np.concatenate(keys), np.concatenate(places)
 
 
 def collision(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -156,11 +160,11 @@ def _sketches(batches):
 
 def _bands(batches):
     for batch in batches:
-        keys = [band_keys(s, g) for s, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        counts = [len(k) for k in keys]
-        reps = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), counts), pa.int64())
-        flat = (np.concatenate(keys) if keys else np.empty(0, dtype=np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), reps], names=["band", "rep"])
+        pairs = [band_keys(s, g) for s, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        reps = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k, _ in pairs]), pa.int64())
+        keys = np.concatenate([np.empty(0, dtype=np.uint64), *[k for k, _ in pairs]]).view(np.int64)
+        places = np.concatenate([np.empty(0, dtype=np.int64), *[p for _, p in pairs]])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), reps, pa.array(places, pa.int32())], names=["band", "rep", "place"])
 
 
 def _sets(batches):
@@ -184,42 +188,66 @@ def _verified(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
 
-def _blocks(table_: pa.Table) -> pa.Table:
-    """Sketches of two blocks of one band -> pairs of different components, one of them minor, whose estimate leaves hope."""
-    rep, comp, minor = (np.array(table_.column(k).to_pylist()) for k in ("rep", "comp", "minor"))
-    side, n = np.array(table_.column("side").to_pylist()), np.array(table_.column("n").to_pylist(), dtype=np.float64)
-    pairs: list[np.ndarray] = []
-    for kind in ("small", "large"):
-        held = table_.column(kind).to_pylist()
-        has = np.array([x is not None for x in held], dtype=bool)
-        left = np.flatnonzero(has & (side != 1))
-        right = np.flatnonzero(has & (side != 0))
-        if not len(left) or not len(right):
+def _first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For rows of registers, the number of the first band that agrees and isn't empty; BANDS if none does."""
+    same = (x.view(np.uint64) == y.view(np.uint64)) & (x.view(np.uint64) != U(0xFFFFFFFFFFFFFFFF))
+    return np.where(same.any(axis=1), same.argmax(axis=1), BANDS)
+
+
+def _open_pairs(key: tuple, group: pa.Table) -> pa.Table:
+    """Two blocks of one open band -> a row for each class with hope, and its partners (the pair stands in one of the two rows).
+
+    Pairs of different components, one of them minor, whose estimate leaves hope; each pair in the first band that it
+    shares only, and without the band's hubs, which were compared already.
+    """
+    band, i, j = (k.as_py() for k in key)
+    rep, comp, minor, side = (np.array(group.column(k).to_pylist()) for k in ("rep", "comp", "minor", "side"))
+    n = np.array(group.column("n").to_pylist(), dtype=np.float64)
+    lo, hi, place = (group.column(k)[0].as_py() for k in ("lo", "hi", "place"))
+    kind, number = divmod(place, BANDS)
+    regs = np.frombuffer(b"".join(group.column(("small", "large")[kind]).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
+    small = group.column("small").to_pylist() if kind else []
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    rows: dict[int, list[int]] = {}
+    for x in left:
+        ok = (comp[right] != comp[x]) & (minor[right] | minor[x]) & (DENOMINATOR * np.minimum(n[right], n[x]) >= NUMERATOR * np.maximum(n[right], n[x]))
+        ok &= (rep[right] != lo) & (rep[right] != hi) & (rep[x] != lo) & (rep[x] != hi)
+        if side[x] == 2:
+            ok &= rep[right] > rep[x]
+        at = right[ok]
+        if not len(at):
             continue
-        regs = {i: np.frombuffer(held[i], dtype=np.uint16) for i in set(left) | set(right)}
-        y = np.stack([regs[i] for i in right])
-        for i in left:
-            ok = (comp[right] != comp[i]) & (minor[right] | minor[i]) & (DENOMINATOR * np.minimum(n[right], n[i]) >= NUMERATOR * np.maximum(n[right], n[i]))
-            if side[i] == 2:
-                ok &= rep[right] > rep[i]
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            x, z = regs[i][None, :], y[at]
-            used = (x != EMPTY) | (z != EMPTY)
-            j = estimate(((x == z) & used).sum(axis=1), used.sum(axis=1), np.full(len(at), n[i]), n[right[at]], np.full(len(at), kind == "large"))
-            hope = right[at[j >= NUMERATOR / DENOMINATOR - MARGIN]]
-            if len(hope):
-                pairs.append(np.stack([np.maximum(rep[hope], rep[i]), np.minimum(rep[hope], rep[i])]))
-    a, b = np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), dtype=np.int64)
-    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def _verify(spark, docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b) candidate pairs -> those that the full sets link."""
-    ids = stored(pairs.select(F.col("a").alias("want")).unionByName(pairs.select(F.col("b").alias("want"))).distinct(), "neardup-wanted")
+        one, two = np.ascontiguousarray(np.broadcast_to(regs[x], (len(at), REGISTERS))), regs[at]
+        used = (one != EMPTY) | (two != EMPTY)
+        j_ = estimate(((one == two) & used).sum(axis=1), used.sum(axis=1), np.full(len(at), n[x]), n[at], np.full(len(at), kind == 1))
+        at = at[(j_ >= NUMERATOR / DENOMINATOR - MARGIN) & (_first_shared(one, two) == number)]
+        if kind and small[x] is not None:
+            at = [y for y in at if small[y] is None or _first_shared(np.frombuffer(small[x], dtype=np.uint16)[None, :], np.frombuffer(small[y], dtype=np.uint16)[None, :])[0] == BANDS]
+        if len(at):
+            rows.setdefault(int(rep[x]), []).extend(int(r) for r in rep[at])
+            for r in rep[at]:
+                rows.setdefault(int(r), [])
+    count = len(rows)
+    return pa.table({"band": pa.array([band] * count, pa.int64()), "i": pa.array([i] * count, pa.int32()), "j": pa.array([j] * count, pa.int32()), "rep": pa.array(list(rows), pa.int64()), "partners": pa.array(list(rows.values()), pa.list_(pa.int64()))})
+
+
+def _open_links(group: pa.Table) -> pa.Table:
+    """The same blocks with the full sets -> linked pairs."""
+    sets = {r: np.frombuffer(s, dtype=np.uint64) for r, s in zip(group.column("rep").to_pylist(), group.column("shingles").to_pylist(), strict=True)}
+    found = [(max(x, y), min(x, y)) for x, partners in zip(group.column("rep").to_pylist(), group.column("partners").to_pylist(), strict=True) for y in partners if y in sets and linked(sets[x], sets[y])]
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, shingles) for the ids in `wanted`."""
+    ids = stored(wanted.distinct().toDF("want"), "neardup-wanted")
     small = ids.count() <= BROADCAST_IDS
-    sets = stored(docs.join(F.broadcast(ids) if small else ids, F.col("id") == F.col("want"), "left_semi").select("id", "text").mapInArrow(_sets, "rep long, shingles binary"), "neardup-sets")
+    return stored(docs.join(F.broadcast(ids) if small else ids, F.col("id") == F.col("want"), "left_semi").select("id", "text").mapInArrow(_sets, "rep long, shingles binary"), "neardup-sets")
+
+
+def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b) candidate pairs -> those that the full sets link."""
+    sets = _full_sets(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
     left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long").distinct()
 
@@ -238,34 +266,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id are one document: the links of either text are links of both.  Empty input gives an empty
     result.  Other columns of `docs` aren't looked at.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sketched = stored(docs.mapInArrow(_sketches, _SKETCHED), "neardup-sketches")
     classes = stored(sketched.where("s1 is not null and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "neardup-classes")
     own = sketched.join(classes, ["s1", "s2"]).where("id = rep").select("rep", "n", "small", "large")
     reps = stored(own.dropDuplicates(["rep", "n"]), "neardup-reps")
-    bands = stored(reps.select("rep", "small", "large").mapInArrow(_bands, "band long, rep long"), "neardup-bands")
+    bands = stored(reps.select("rep", "small", "large").mapInArrow(_bands, "band long, rep long, place int"), "neardup-bands")
     hubs = bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     members = stored(bands.join(hubs, "band"), "neardup-members")
     star = members.where("rep > lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).unionByName(members.where("rep < hi").select(F.col("hi").alias("a"), F.col("rep").alias("b"))).distinct()
-    links = stored(_verify(spark, docs, stored(_estimated(star, reps), "neardup-pairs")), "neardup-links")
+    links = stored(_verify(docs, stored(_estimated(star, reps), "neardup-pairs")), "neardup-links")
     merged = stored(components(links), "neardup-components")
 
-    # bands that still hold several components
-    labelled = members.select("band", "rep").join(merged, F.col("rep") == F.col("node"), "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-    sizes = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"))
-    open_ = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("total")).where("comps > 1")
-    open_ = open_.select("band", F.col("top.comp").alias("major"), "total")
-    # a band of two classes was compared in full already
-    blocks = F.ceil(F.col("total") / BLOCK).cast("int")
-    mine = labelled.join(open_.where("total > 2"), "band").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    mine = mine.withColumn("minor", F.col("comp") != F.col("major"))
+    # bands that still hold several components; one of two classes was compared in full already
+    labelled = members.join(merged, F.col("rep") == F.col("node"), "left").select("band", "rep", "place", "lo", "hi", F.coalesce("component", "rep").alias("comp"))
+    sized = labelled.join(reps, "rep")
+    tallies = sized.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
+    open_ = tallies.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("total"), F.sum("n").alias("weight")).where("comps > 1 and total > 2")
+    open_ = open_.select("band", F.col("top.comp").alias("major"), F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    mine = sized.join(open_, "band").withColumn("minor", F.col("comp") != F.col("major")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     other = F.sequence(F.lit(0), F.col("blocks") - 1)
     met = mine.withColumn("x", F.explode(F.transform(other, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") == o, 2).when(F.col("block") < o, 0).otherwise(1).alias("side")))))
-    met = met.select("band", "x.i", "x.j", "x.side", "rep", "comp", "minor").join(reps, "rep")
-    rest = met.groupBy("band", "i", "j").applyInArrow(_blocks, "a long, b long").distinct()
-    rest = stored(rest.join(star, ["a", "b"], "left_anti"), "neardup-rest")
-    more = stored(_verify(spark, docs, rest), "neardup-more")
+    met = met.select("band", "x.i", "x.j", "x.side", "rep", "comp", "minor", "place", "lo", "hi", "n", "small", "large")
+    hope = stored(met.groupBy("band", "i", "j").applyInArrow(_open_pairs, "band long, i int, j int, rep long, partners array<long>"), "neardup-hope")
+    sets = _full_sets(docs, hope.select("rep"))
+    more = hope.join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_open_links, "a long, b long").distinct()
     merged = stored(components(links.unionByName(more)), "neardup-components")
 
     out = sketched.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
