@@ -62,32 +62,34 @@ def splitting_tree(quotas: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     return blocks.join(quota, ["rank", "draw"]).select("rank", "block", "shard")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", depth: int = TREE_DEPTH) -> DataFrame:
-    """One row per document: id, size, source_size, target, taken, copies.
+def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """(doc, id, source, size, key, bucket): doc holds all columns of `docs`, so no name of theirs clashes with ours."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    rows = whole.select("doc", F.col("doc")[id_col].alias("id"), F.col("doc")[source_col].cast("string").alias("source"), word_count(F.col("doc")[text_col]).alias("size"))
+    key = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":mix")))
+    return rows.withColumn("key", key).withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
 
-    copies: array of (epoch, words, shard, slot_key); words < size in at most one copy of a source and epoch, whose first
-    words are meant.  Source shares are exact: the copies of a source hold floor(target) words.  Null text and text
-    without words have size 0 and no copy; a null source is a source of its own, last.  Rows that repeat an id are
-    separate documents; equal keys are ordered by id and size, and full ties are interchangeable.  Empty input gives an
-    empty result.  Other columns of `docs` aren't looked at.
-    """
-    permutation = F.md5(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(":mix")))
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"))
-    narrow = stored(narrow.withColumn("key", permutation), "mix-sizes").withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
+
+def _plan(narrow: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
+    """Targets and the blocks' shards by source; the words before each bucket of a source's permuted order."""
     buckets = stored(narrow.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
     plan = targets(buckets.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumn("quota", F.floor("target"))
     length = F.greatest(F.lit(1), F.ceil(F.sum("quota").over(Window.partitionBy()) / MIX_BLOCKS))
     plan = stored(plan.withColumn("length", length).withColumn("blocks", F.ceil(F.col("quota") / F.col("length"))), "mix-targets")
     dealt = splitting_tree(plan.select("rank", "blocks"), depth).groupBy("rank").agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "shard"))), lambda x: x["shard"]).alias("shards"))
-    plan = stored(plan.join(dealt, "rank", "left"), "mix-plan")
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
+    plan = stored(plan.join(dealt, "rank", "left").select(F.col("source").alias("p_source"), "source_size", "target", "quota", "length", "shards"), "mix-plan")
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    rows = narrow.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
+    return (F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan), offsets
+
+
+def _draw(rows: DataFrame, plan: DataFrame, offsets: DataFrame) -> DataFrame:
+    """`rows` with source_size, target, taken and copies."""
+    columns = rows.columns
+    rows = rows.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
     inside = Window.partitionBy("o_source", "o_bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("at", F.col("offset") + F.sum("size").over(inside) - F.col("size")).select("id", F.col("source").alias("r_source"), "size", "key", "at")
-    rows = rows.join(plan, F.col("r_source").eqNullSafe(F.col("source")))
+    rows = rows.withColumn("at", F.col("offset") + F.sum("size").over(inside) - F.col("size"))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
     first = F.least("quota", "source_size")
 
     def copy(epoch: int, quota: Column, begin: Column) -> Column:
@@ -97,29 +99,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     copies = F.filter(F.array(copy(1, first, F.lit(0)), copy(2, F.col("quota") - first, first)), lambda c: c["words"] > 0)
     rows = rows.withColumn("copies", copies)
-    return rows.select("id", "size", "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]).alias("taken"), "copies")
+    return rows.select(*columns, "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]).alias("taken"), "copies")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", depth: int = TREE_DEPTH) -> DataFrame:
+    """One row per document: id, size, source_size, target, taken, copies.
+
+    copies: array of (epoch, words, shard, slot_key); words < size in at most one copy of a source and epoch, whose first
+    words are meant; within a shard, rows stand in the order of slot_key.  Source shares are exact: the copies of a source
+    hold floor(target) words.  Null text and text without words have size 0 and no copy; a null source is a source of its
+    own, last.  Rows that repeat an id are separate documents; equal keys are ordered by id and size, and full ties are
+    interchangeable.  Empty input gives an empty result.  Other columns of `docs` may have any name.
+    """
+    narrow = stored(_sized(docs, id_col, source_col, text_col).drop("doc"), "mix-sizes")
+    return _draw(narrow, *_plan(narrow, depth)).select("id", "size", "source_size", "target", "taken", "copies")
 
 
-def apply_mix(docs: DataFrame) -> DataFrame:
-    """The mixed corpus with the columns of `docs` (doc_id, source, text, n_chars): a row for each copy that the mix takes.
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", depth: int = TREE_DEPTH) -> DataFrame:
+    """The mixed corpus, with the columns of `docs`: a row for each copy that the mix takes.
 
-    A copy cut short keeps the text up to its last taken word.
+    A copy cut short keeps its first words, joined by one space, and its own count of characters in `chars_col`.  Texts
+    travel once, to the bucket that their position comes from.
     """
-    copies = mix(docs).where("size(copies) > 0").select(F.col("id").alias("m_id"), F.col("size").alias("m_size"), F.explode("copies").alias("m_copy"))
-    unique = copies.groupBy("m_id", "m_size").agg(F.collect_list("m_copy.words").alias("m_words"))
-    # rows that repeat an id and size share their copies: each such row gets an equal part, in order
-    w = Window.partitionBy("doc_id", "m_n").orderBy("text")
-    rows = docs.withColumn("m_n", word_count(F.col("text")))
-    joined = rows.join(unique, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("m_n") == F.col("m_size")))
-    joined = joined.withColumn("m_at", F.row_number().over(w) - 1).withColumn("m_rows", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "m_n")))
-    own = F.filter("m_words", lambda x, i: i % F.col("m_rows") == F.col("m_at"))
-    out = joined.withColumn("m_own", F.explode(own))
-    cut = F.array_join(F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""), 1, F.col("m_own").cast("int")), " ")
-    text = F.when(F.col("m_own") < F.col("m_n"), cut).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("m_own") < F.col("m_n"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = _sized(docs, id_col, source_col, text_col)
+    narrow = stored(rows.drop("doc", "id"), "mix-sizes")
+    out = _draw(rows, *_plan(narrow, depth)).select("doc", "size", F.explode("copies").alias("copy"))
+    short = F.col("copy.words") < F.col("size")
+    text = F.col("doc")[text_col]
+    cut = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""), 1, F.col("copy.words").cast("int")), " ")
+    changed = {text_col: F.when(short, cut).otherwise(text)}
+    if chars_col in docs.columns:
+        changed[chars_col] = F.when(short, F.length(cut).cast(docs.schema[chars_col].dataType)).otherwise(F.col("doc")[chars_col])
+    return out.select(*[changed.get(c, F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:

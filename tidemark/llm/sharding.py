@@ -68,32 +68,50 @@ def text_size(text: Column, overhead: int = OVERHEAD) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + overhead).cast("long")
 
 
-def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """One row per document: id, size, text_crc32, law, shard, slot.
+def _sized(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, id, size, text_crc32, unit): doc holds all columns of `docs`, so no name of theirs clashes with ours."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.coalesce(F.col("doc")[text_col], F.lit(""))
+    unit = F.conv(F.substring(F.md5(text), 1, UNIT_DIGITS), 16, 10).cast("int")
+    return whole.select("doc", F.col("doc")[id_col].alias("id"), text_size(F.col("doc")[text_col]).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), unit.alias("unit"))
 
-    Shards run from 0 to shards - 1; slots of a shard are gapless from 0.  Null text counts as empty, so null and empty
-    texts are one group.  Rows that repeat an id are separate documents; full ties are interchangeable.  Empty input gives
-    an empty result.  Other columns of `docs` aren't looked at.
-    """
-    text = F.col(f"`{text_col}`")
-    whole = F.coalesce(text, F.lit(""))
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), text_size(text).alias("size"), F.crc32(whole.cast("binary")).alias("crc"), F.conv(F.substring(F.md5(whole), 1, UNIT_DIGITS), 16, 10).cast("int").alias("unit"))
-    narrow = stored(narrow, "shard-sizes")
+
+def _place(rows: DataFrame, narrow: DataFrame, shards: int) -> DataFrame:
+    """`rows` with law, shard and slot; `narrow` has their id, size and unit."""
     units = stored(narrow.groupBy("unit").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")), "shard-units")
     # a unit with many rows is numbered in several parts, in proportion to its rows, so that no task numbers a hot group
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") * 16**UNIT_DIGITS / F.sum("n").over(Window.partitionBy()))).cast("int")
     plan = stored(units.withColumn("parts", parts).join(minimax_plan(units.select("unit", "bytes"), shards), "unit").select("unit", "parts", "shard"), "shard-plan")
+    part = F.pmod(F.xxhash64("id", "size"), F.col("parts"))
     # at most 16**UNIT_DIGITS rows of 12 bytes
-    rows = narrow.join(F.broadcast(plan), "unit").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
-    counts = stored(rows.groupBy("shard", "unit", "part").agg(F.count(F.lit(1)).alias("n")), "shard-counts")
+    counts = stored(narrow.join(F.broadcast(plan), "unit").groupBy("shard", "unit", part.alias("part")).agg(F.count(F.lit(1)).alias("n")), "shard-counts")
     before = Window.partitionBy("shard").orderBy("unit", "part").rowsBetween(Window.unboundedPreceding, -1)
     # at most twice as many rows of 24 bytes
     offsets = counts.select("unit", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    number = F.row_number().over(Window.partitionBy("unit", "part").orderBy("id", "size", "crc"))
-    rows = rows.withColumn("number", number).join(F.broadcast(offsets), ["unit", "part"])
-    return rows.select("id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("number") - 1).alias("slot"))
+    number = F.row_number().over(Window.partitionBy("unit", "part").orderBy("id", "size", "text_crc32"))
+    placed = rows.join(F.broadcast(plan), "unit").withColumn("part", part).withColumn("number", number).join(F.broadcast(offsets), ["unit", "part"])
+    return placed.select(*rows.columns, F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("number") - 1).cast("long").alias("slot"))
+
+
+def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
+    """One row per document: id, size, text_crc32, law, shard, slot.
+
+    Shards run from 0 to shards - 1; slots of a shard are gapless from 0.  Null text counts as empty, so null and empty
+    texts are one group.  Rows that repeat an id are separate documents; full ties are interchangeable.  Empty input gives
+    an empty result.  Other columns of `docs` may have any name.
+    """
+    narrow = stored(_sized(docs, id_col, text_col).drop("doc"), "shard-sizes")
+    return _place(narrow, narrow, shards).drop("unit")
+
+
+def shard_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
+    """The columns of `docs`, whole, with the shard and slot of each row; the two names must be no columns of `docs`."""
+    rows = _sized(docs, id_col, text_col)
+    narrow = stored(rows.select("id", "size", "unit"), "shard-sizes")
+    out = _place(rows, narrow, shards)
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns], F.col("shard").alias(shard_col), F.col("slot").alias(slot_col))
 
 
 def op2_shard(spark, sf_dir: str) -> DataFrame:
     out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", "law", "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
