@@ -172,35 +172,62 @@ def ordinal(v: Column, options: Sequence[str]) -> Column:
     return F.nullif(F.array_position(F.array(*[F.lit(o) for o in options]), v), F.lit(0).cast("long")) - 1
 
 
-def validate(schema: Schema, t: Type, v: Column, path: str = "$", strict: bool = True) -> Column:
-    """A loosely typed column (as from_json gives it with text leaves) as a column of the type; errors name the path."""
-    t = schema.resolve(t)
+def too_deep(v: Column, path: str) -> Column:
+    """An error if a place below the columns' depth, kept as raw text, holds anything."""
+    return F.when(v.isNotNull() & ~v.cast("string").isin("", "[]", "{}"), F.raise_error(F.lit(f"{path}: nested too deep")).cast("boolean")).otherwise(True)
 
-    def required(out: Column, kind: str) -> Column:
-        return F.when(v.isNull(), _fail(path, "missing", v, kind) if strict else F.lit(None).cast(kind)).otherwise(out)
+
+def validate(schema: Schema, t: Type, v: Column, path: str = "$", strict: bool = True, depth: int = 3, _within: tuple[str, ...] = ()) -> Column:
+    """A loosely typed column (as from_json gives it with text leaves) as a column of the type; errors name the path.
+
+    A union comes as {variant: fields} or with its fields beside `_type`.  Recursion goes as deep as to_spark() does; what
+    lies deeper is an error.
+    """
+    if isinstance(t, Ref):
+        return validate(schema, schema.named[t.name], v, path, strict, depth, (*_within, t.name))
+
+    def inner(x: Type, w: Column, where: str) -> Column:
+        return validate(schema, x, w, where, strict, depth, _within)
+
+    kind = to_spark(schema, t, depth, _within).simpleString()
+
+    def required(out: Column) -> Column:
+        return F.when(v.isNull(), _fail(path, "missing", F.lit(None), kind) if strict else F.lit(None).cast(kind)).otherwise(out)
 
     match t:
         case String():
-            return required(parse_string(v), "string")
+            return required(parse_string(v))
         case Int(low, high):
-            return required(parse_int(v, low, high, path, strict), "long")
-        case Float(precision):
-            out = required(parse_float(v, path, strict), "double")
-            return out if precision else out.cast("float")
+            return required(parse_int(v, low, high, path, strict))
+        case Float():
+            return required(parse_float(v, path, strict).cast(kind))
         case Boolean():
-            return required(parse_boolean(v, path, strict), "boolean")
+            return required(parse_boolean(v, path, strict))
         case Enum(options):
-            return required(parse_enum(v, options, path, strict), "string")
+            return required(parse_enum(v, options, path, strict))
         case Optional(x):
-            scalar = schema.is_scalar(x)
-            return F.when((parse_optional(v) if scalar else v).isNotNull(), validate(schema, x, v, path, strict))
+            return F.when((parse_optional(v) if schema.is_scalar(x) else v).isNotNull(), inner(x, v, path))
         case Array(x):
-            return required(F.transform(v, lambda i: validate(schema, x, i, f"{path}[]", strict)), to_spark(schema, t).simpleString())
+            return required(F.transform(v, lambda i: inner(x, i, f"{path}[]")))
         case Map(k, x):
-            parsed = F.transform_values(F.transform_keys(v, lambda key, _: validate(schema, k, key, f"{path} key", strict)), lambda _, i: validate(schema, x, i, f"{path}{{}}", strict))
-            return required(parsed, to_spark(schema, t).simpleString())
+            return required(F.transform_values(F.transform_keys(v, lambda key, _: inner(k, key, f"{path} key")), lambda _, i: inner(x, i, f"{path}{{}}")))
         case Object(fields):
-            return required(F.struct(*[validate(schema, x, v[name], f"{path}.{name}", strict).alias(name) for name, x in fields]), to_spark(schema, t).simpleString())
+            closed = [n for n, x in fields if any(_within.count(r) >= depth for r in references(x))]
+            out = F.struct(*[inner(x, v[n], f"{path}.{n}").alias(n) for n, x in fields if n not in closed])
+            for n in closed:
+                out = F.when(too_deep(v[n], f"{path}.{n}"), out)
+            return required(out)
+        case Union(options):
+            given = F.lower(v["_type"])
+            name = F.lit(None).cast("string")
+            for o in reversed(options):
+                name = F.when(F.when(given.isNotNull(), given == o.lower()).otherwise(v[o].isNotNull()), F.lit(o)).otherwise(name)
+            variants = []
+            for o in options:
+                flat = F.struct(*[v[n].alias(n) for n, _ in schema.resolve(Ref(o)).fields])
+                variants.append(F.when(name == o, inner(Ref(o), F.when(v[o].isNotNull(), v[o]).otherwise(flat), f"{path}.{o}")).alias(o))
+            bad = _fail(path, f"no variant of {', '.join(options)}", v["_type"], kind) if strict else F.lit(None).cast(kind)
+            return required(F.when(name.isNull(), bad).otherwise(F.struct(name.alias("_type"), *variants)))
     raise TypeError(f"{path}: no validation for {t}")
 
 

@@ -448,9 +448,10 @@ def bandwidth_tumbling(spark, d):
     return H.bandwidth(table(spark, d, "events"), "ts", F.octet_length("props"), "1 day", ["user_id"])
 
 
-@query(f"WITH {TICKS_SQL} SELECT user_id, tick, round(avg(value) OVER (PARTITION BY user_id ORDER BY tick ROWS UNBOUNDED PRECEDING), 6) AS mean FROM t")
+@query(f"WITH {TICKS_SQL} SELECT user_id, tick, avg(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY tick ROWS UNBOUNDED PRECEDING) AS mean_cents FROM t")
 def running_mean(spark, d):
-    return H.running_mean(ticks(spark, d), ["user_id"], ["tick"], "value").select("user_id", "tick", F.round("mean", 6).alias("mean"))
+    t = ticks(spark, d).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return H.running_mean(t, ["user_id"], ["tick"], "cents").select("user_id", "tick", F.col("mean").alias("mean_cents"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_mktsegment = 'BUILDING')")

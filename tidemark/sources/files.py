@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.exprs import validate
-from tidemark.functions.schema import Array, Map, Object, Optional, Ref, Schema, Type, Union, references, to_spark
+from tidemark.functions.schema import Array, Map, Object, Optional, Ref, Schema, Type, Union, references
 from tidemark.sources.codec import StateColumns
 
 
 def loose_type(schema: Schema, t: Type, depth: int = 3, _within: tuple[str, ...] = ()) -> T.DataType:
-    """The shape of a type with text leaves, for from_json: coercion comes afterwards."""
+    """The shape of a type with text leaves, for from_json: coercion comes afterwards.  Places below the depth are raw text."""
     if isinstance(t, Ref):
         return loose_type(schema, schema.named[t.name], depth, (*_within, t.name))
     match t:
@@ -23,7 +23,7 @@ def loose_type(schema: Schema, t: Type, depth: int = 3, _within: tuple[str, ...]
         case Map(_, x):
             return T.MapType(T.StringType(), loose_type(schema, x, depth, _within))
         case Object(fields):
-            return T.StructType([T.StructField(n, loose_type(schema, x, depth, _within)) for n, x in fields if not any(_within.count(r) >= depth for r in references(x))])
+            return T.StructType([T.StructField(n, T.StringType() if any(_within.count(r) >= depth for r in references(x)) else loose_type(schema, x, depth, _within)) for n, x in fields])
         case Union(options):
             own = {"_type": T.StringType()} | {o: loose_type(schema, Ref(o), depth, _within) for o in options}
             for o in options:
@@ -33,35 +33,9 @@ def loose_type(schema: Schema, t: Type, depth: int = 3, _within: tuple[str, ...]
     return T.StringType()
 
 
-def parse_json(schema: Schema, root: str, text: Column, strict: bool = True) -> Column:
+def parse_json(schema: Schema, root: str, text: Column, strict: bool = True, depth: int = 3) -> Column:
     """A JSON text column as a column of the root type: coerced, checked, unknown fields ignored."""
-    return coerce(schema, Ref(root), F.from_json(text, loose_type(schema, Ref(root))), strict=strict)
-
-
-def coerce(schema: Schema, t: Type, v: Column, path: str = "$", strict: bool = True) -> Column:
-    resolved = schema.resolve(t)
-    match resolved:
-        case Union(options):
-            kind = to_spark(schema, t).simpleString()
-            given = F.lower(v["_type"])
-            name = F.lit(None).cast("string")
-            for o in reversed(options):
-                name = F.when(F.when(given.isNotNull(), given == o.lower()).otherwise(v[o].isNotNull()), F.lit(o)).otherwise(name)
-            fields = []
-            for o in options:
-                flat = F.struct(*[v[n].alias(n) for n, _ in schema.resolve(Ref(o)).fields])
-                fields.append(F.when(name == o, coerce(schema, Ref(o), F.when(v[o].isNotNull(), v[o]).otherwise(flat), f"{path}.{o}", strict)).alias(o))
-            bad = F.raise_error(F.lit(f"{path}: no variant of {', '.join(options)}")).cast(kind) if strict else F.lit(None).cast(kind)
-            return F.when(name.isNull(), bad).otherwise(F.struct(name.alias("_type"), *fields))
-        case Object(fields) if any(_has_union(schema, x) for _, x in fields):
-            return F.when(v.isNotNull(), F.struct(*[coerce(schema, x, v[n], f"{path}.{n}", strict).alias(n) for n, x in fields]))
-        case Optional(x) if _has_union(schema, x):
-            return F.when(v.isNotNull(), coerce(schema, x, v, path, strict))
-        case Array(x) if _has_union(schema, x):
-            return F.transform(v, lambda i: coerce(schema, x, i, f"{path}[]", strict))
-        case Map(k, x) if _has_union(schema, x):
-            return F.transform_values(F.transform_keys(v, lambda key, _: validate(schema, k, key, f"{path} key", strict)), lambda _, i: coerce(schema, x, i, f"{path}{{}}", strict))
-    return validate(schema, t, v, path, strict)
+    return validate(schema, Ref(root), F.from_json(text, loose_type(schema, Ref(root), depth)), strict=strict, depth=depth)
 
 
 def _has_union(schema: Schema, t: Type, seen: frozenset = frozenset()) -> bool:
@@ -77,26 +51,28 @@ def _has_union(schema: Schema, t: Type, seen: frozenset = frozenset()) -> bool:
     return False
 
 
-def render_json(schema: Schema, root: str, state: Column) -> Column:
+def render_json(schema: Schema, root: str, state: Column, depth: int = 3) -> Column:
     """JSON text: absent optionals left out, keys as text, a union as {variant: fields}."""
-    return F.to_json(_plain(schema, Ref(root), state))
+    return F.to_json(_plain(schema, Ref(root), state, depth))
 
 
-def _plain(schema: Schema, t: Type, v: Column) -> Column:
+def _plain(schema: Schema, t: Type, v: Column, depth: int, _within: tuple[str, ...] = ()) -> Column:
     if not _has_union(schema, t):
         return v
-    resolved = schema.resolve(t)
-    match resolved:
+    if isinstance(t, Ref):
+        return _plain(schema, schema.named[t.name], v, depth, (*_within, t.name))
+    match t:
         case Union(options):
-            return F.when(v.isNotNull(), F.struct(*[_plain(schema, Ref(o), v[o]).alias(o) for o in options]))
+            return F.when(v.isNotNull(), F.struct(*[_plain(schema, Ref(o), v[o], depth, _within).alias(o) for o in options]))
         case Object(fields):
-            return F.when(v.isNotNull(), F.struct(*[_plain(schema, x, v[n]).alias(n) for n, x in fields]))
+            open_ = [(n, x) for n, x in fields if not any(_within.count(r) >= depth for r in references(x))]
+            return F.when(v.isNotNull(), F.struct(*[_plain(schema, x, v[n], depth, _within).alias(n) for n, x in open_]))
         case Optional(x):
-            return _plain(schema, x, v)
+            return _plain(schema, x, v, depth, _within)
         case Array(x):
-            return F.transform(v, lambda i: _plain(schema, x, i))
+            return F.transform(v, lambda i: _plain(schema, x, i, depth, _within))
         case Map(_, x):
-            return F.transform_values(v, lambda _, i: _plain(schema, x, i))
+            return F.transform_values(v, lambda _, i: _plain(schema, x, i, depth, _within))
     return v
 
 
