@@ -34,10 +34,10 @@ INSULTS = frozenset("arsehole asshole bastard bitch clown cretin disgusting dumb
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu toi te ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
 
 _LEET = str.maketrans("013457@$!|", "oieastasil")
-_LETTERS = re.compile(r"[^\W\d_]+")
 _STRIP = re.compile(r"[\W_]+")
 _MIXED = re.compile(r"[^\W\d_][\d@$!|*.\-_]+[^\W\d_]|[\d@$!|*]+[^\W\d_]{2}")
-_REPEAT = re.compile(r"(\w)\1{3,}")
+_REPEAT = re.compile(r"(\w)\1{3}")
+_UPPER = bytes(range(65, 91))
 
 
 def tokens(text: str | None) -> list[str]:
@@ -55,91 +55,119 @@ def forms(token: str) -> tuple[str, ...]:
     return (plain, spelled) if spelled != plain else (plain,)
 
 
-def terms(words: set[str]) -> set[str]:
-    """Words, and their beginnings marked by a tilde."""
+def terms(text: str) -> set[str]:
+    """The words of a text, and their beginnings marked by a tilde."""
+    words = {w for token in set(tokens(text)) for w in forms(token) if w}
     out = set(words)
     for k in PREFIXES:
         out.update(f"{w[:k]}~" for w in words if len(w) > k)
     return out
 
 
-def learn_lexicon(bags: list[set[str]], toxic: np.ndarray) -> dict[str, float]:
+def count_terms(texts: list[str], labels: np.ndarray, fold: np.ndarray) -> tuple[list[Counter], list[Counter]]:
+    """By fold, the toxic and the other texts that hold each term; only terms of toxic texts are counted."""
+    bad, good = [Counter() for _ in range(FOLDS)], [Counter() for _ in range(FOLDS)]
+    for i in np.flatnonzero(labels == 1):
+        bad[fold[i]].update(terms(texts[i]))
+    known = set().union(*bad)
+    for i in np.flatnonzero(labels == 0):
+        good[fold[i]].update(terms(texts[i]) & known)
+    return bad, good
+
+
+def learn_lexicon(bad: list[Counter], good: list[Counter], n1: int, n0: int) -> dict[str, float]:
     """Log-odds ratios of the terms that toxic texts hold more often."""
-    n1, n0 = int(toxic.sum()), int(len(toxic) - toxic.sum())
-    bad, good = Counter(), Counter()
-    for bag, t in zip(bags, toxic, strict=True):
-        if t:
-            bad.update(bag)
-    for bag, t in zip(bags, toxic, strict=True):
-        if not t:
-            good.update(bag & bad.keys())
+    total, other = Counter(), Counter()
+    for c in bad:
+        total.update(c)
+    for c in good:
+        other.update(c)
     out = {}
-    for w, n in bad.items():
-        weight = math.log((n + 0.5) / (n1 - n + 0.5)) - math.log((good[w] + 0.5) / (n0 - good[w] + 0.5))
+    for w, n in total.items():
+        weight = math.log((n + 0.5) / (n1 - n + 0.5)) - math.log((other[w] + 0.5) / (n0 - other[w] + 0.5))
         if n >= MIN_TEXTS and weight >= MIN_WEIGHT:
             out[w] = weight
     return out
 
 
-N_FEATURES = 17
+class Features:
+    """Dense features of a text, given a lexicon.  What a token contributes is remembered, for up to MEMORY tokens."""
+
+    COUNT, MEMORY = 17, 200_000
 
+    def __init__(self, lexicon: dict[str, float]):
+        self.lexicon = lexicon
+        self.known: dict[str, tuple | None] = {}
 
-def features(text: str | None, counts: dict[str, int], lexicon: dict[str, float]) -> list[float]:
-    """`counts`: the tokens of the text; empty and null texts have all features 0."""
-    n = sum(counts.values())
-    if not n:
-        return [0.0] * N_FEATURES
-    base = learned = prefixed = person = mixed = strong = 0
-    hit: set[str] = set()
-    word_weights: list[float] = []
-    prefix_weights: list[float] = []
-    for token, k in counts.items():
+    def token(self, token: str) -> tuple | None:
+        """(insult, person, obfuscated, word weights, prefix weights), or None for the many tokens without any."""
         found = forms(token)
-        if len(found) > 1:
-            mixed += k
-        for w in found:
-            if w in SECOND_PERSON:
+        insult, person = any(w in INSULTS for w in found), any(w in SECOND_PERSON for w in found)
+        odd = (len(found) > 1) + (_REPEAT.search(token) is not None)
+        weights = [self.lexicon[w] for w in found if w in self.lexicon]
+        prefixes = [self.lexicon[p] for w in found for k in PREFIXES if len(w) > k and (p := f"{w[:k]}~") in self.lexicon]
+        return (insult, person, odd, weights, prefixes) if insult or person or odd or weights or prefixes else None
+
+    def __call__(self, text: str | None) -> list[float]:
+        """Empty and null texts have all features 0."""
+        words = tokens(text)
+        n = len(words)
+        if not n:
+            return [0.0] * self.COUNT
+        known, counts = self.known, Counter(words)
+        if len(known) > self.MEMORY:
+            known.clear()
+        base = learned = prefixed = person = odd = strong = 0
+        hit, second = set(), set()
+        word_weights: list[float] = []
+        prefix_weights: list[float] = []
+        for token, k in counts.items():
+            info = known.get(token, 0)
+            if info is None:
+                continue
+            if info == 0:
+                info = known[token] = self.token(token)
+                if info is None:
+                    continue
+            insult, is_person, strange, weights, prefixes = info
+            odd += k * strange
+            if is_person:
                 person += k
-            if w in INSULTS:
+                second.add(token)
+            if insult:
                 base += k
                 hit.add(token)
-            weight = lexicon.get(w)
-            if weight is not None:
+            if weights:
                 learned += k
-                strong += k * (weight > 4)
-                word_weights.append(weight)
+                strong += k * (max(weights) > 4)
+                word_weights += weights
                 hit.add(token)
-            for size in PREFIXES:
-                if len(w) > size and (weight := lexicon.get(f"{w[:size]}~")) is not None:
-                    prefixed += k
-                    prefix_weights.append(weight)
-    near = 0
-    if hit and person:
-        words = tokens(text)
-        at = [i for i, w in enumerate(words) if any(f in SECOND_PERSON for f in forms(w))]
-        last = -NEAR - 1
-        marks = iter([*at, len(words) + NEAR + 1])
-        ahead = next(marks)
-        for i, w in enumerate(words):
-            while ahead <= i:
-                last, ahead = ahead, next(marks)
-            near += w in hit and min(i - last, ahead - i) <= NEAR
-    word_weights.sort(reverse=True)
-    prefix_weights.sort(reverse=True)
-    size = len(text)
-    upper = sum(map(str.isupper, text)) if text.upper() != text.lower() else 0
-    letters = max(1, sum(len(t) for t in counts))
-    return [
-        math.log1p(n), base / n, math.log1p(base), learned / n, math.log1p(learned), math.log1p(strong), sum(word_weights[:1]), sum(word_weights[:3]), sum(word_weights[:8]),
-        prefixed / n, sum(prefix_weights[:2]), sum(prefix_weights[:8]), person / n, near / n, upper / max(size, 1), (text.count("!") + text.count("?") + text.count("*")) / n, mixed / n + len(_REPEAT.findall(text)) / letters,
-    ]
+            if prefixes:
+                prefixed += k
+                prefix_weights += prefixes
+        near = 0
+        if hit and second:
+            marks = iter([*(i for i, w in enumerate(words) if w in second), n + NEAR + 1])
+            last, ahead = -NEAR - 1, next(marks)
+            for i, w in enumerate(words):
+                while ahead <= i:
+                    last, ahead = ahead, next(marks)
+                near += w in hit and min(i - last, ahead - i) <= NEAR
+        word_weights.sort(reverse=True)
+        prefix_weights.sort(reverse=True)
+        raw = text.encode()
+        upper = len(raw) - len(raw.translate(None, _UPPER))
+        return [
+            math.log1p(n), base / n, math.log1p(base), learned / n, math.log1p(learned), math.log1p(strong), sum(word_weights[:1]), sum(word_weights[:3]), sum(word_weights[:8]),
+            prefixed / n, sum(prefix_weights[:2]), sum(prefix_weights[:8]), person / n, near / n, upper / len(raw), (text.count("!") + text.count("?") + text.count("*")) / n, odd / n,
+        ]
 
 
 class Trees:
     """Boosted trees for the logistic loss on binned features; each tree is complete, of depth DEPTH."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) for j in range(x.shape[1])]
+        self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.empty(0) for j in range(x.shape[1])]
         binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1)
         mean = min(max(y.mean(), 1e-3), 1 - 1e-3) if len(y) else 0.5
         self.start = math.log(mean / (1 - mean))
@@ -211,29 +239,28 @@ class Model:
 
     def __init__(self, texts: list[str], labels: list[int]):
         y = np.array(labels, dtype=np.float64)
-        counted = [Counter(tokens(t)) for t in texts]
-        bags = [terms({w for token in c for w in forms(token) if w}) for c in counted]
         fold = np.zeros(len(y), dtype=np.int64)
         for label in (0, 1):
             at = np.flatnonzero(y == label)
             fold[at] = np.arange(len(at)) % FOLDS
-        x = np.zeros((len(y), N_FEATURES))
+        bad, good = count_terms(texts, y, fold)
+        x = np.zeros((len(y), Features.COUNT))
         for k in range(FOLDS):
-            rest = np.flatnonzero(fold != k)
-            lexicon = learn_lexicon([bags[i] for i in rest], y[rest])
-            for i in np.flatnonzero(fold == k):
-                x[i] = features(texts[i], counted[i], lexicon)
+            rest = fold != k
+            features = Features(learn_lexicon(bad[:k] + bad[k + 1 :], good[:k] + good[k + 1 :], int(y[rest].sum()), int(rest.sum() - y[rest].sum())))
+            for i in np.flatnonzero(~rest):
+                x[i] = features(texts[i])
         out_of_fold = np.zeros(len(y))
         for k in range(FOLDS):
             out_of_fold[fold == k] = Trees(x[fold != k], y[fold != k]).margin(x[fold == k])
-        self.lexicon = learn_lexicon(bags, y)
+        self.features = Features(learn_lexicon(bad, good, int(y.sum()), int(len(y) - y.sum())))
         self.trees = Trees(x, y)
         self.calibration = Isotonic(out_of_fold, y)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
             return np.empty(0)
-        x = np.array([features(t, Counter(tokens(t)), self.lexicon) for t in texts])
+        x = np.array([self.features(t) for t in texts])
         return np.clip(self.calibration(self.trees.margin(x)), 0.0, 1.0)
 
 
