@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def splitting_tree(quotas: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
     """(rank, blocks) -> (rank, block, shard): blocks of each source dealt to 2**depth shards."""
-    unit = quotas.select("rank", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block")).where("block >= 0").withColumn("node", F.lit(0))
+    unit = quotas.where("blocks > 0").select("rank", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block")).withColumn("node", F.lit(0))
     for level in range(depth):
         key = F.md5(F.concat_ws(":", F.lit(f"split{level}"), "rank", "block"))
         at = F.row_number().over(Window.partitionBy("node").orderBy(key))
