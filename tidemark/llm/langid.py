@@ -23,7 +23,7 @@ GRAMS, BITS = (2, 3, 4), 13
 #: The classifier is fitted on at most so many texts of each language; so many of each are landmarks.
 TRAIN_PER_LANG, LANDMARKS_PER_LANG, RIDGE = 300, 40, 0.1
 UNKNOWN, SHARPNESS = "und", 6.0
-BATCH_DOCS, BATCH_BYTES = 256, 4_000_000
+BATCH_DOCS, BATCH_BYTES = 256, 1_000_000
 
 _FOLD = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 # An odd multiplier for each n spreads n-grams over 2**BITS places.
@@ -34,25 +34,19 @@ def presence(texts: list[bytes | None]) -> np.ndarray:
     """(texts, len(GRAMS), 2**BITS) of 0 and 1: which n-gram places the whole texts hold."""
     size = 1 << BITS
     out = np.zeros((len(texts), len(GRAMS), size), dtype=np.float32)
-    raw = b" ".join([t or b"" for t in texts]).translate(_FOLD)
-    buf = np.frombuffer(raw, dtype=np.uint8).astype(np.uint32)
-    lengths = np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts))
-    bounds = np.concatenate([[0], np.cumsum(lengths + 1)])
+    texts = [b" ".join(t.translate(_FOLD).split()) if t else b"" for t in texts]
+    buf = np.frombuffer(b" ".join(texts), dtype=np.uint8).astype(np.uint32)
+    lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    ends = np.cumsum(lengths + 1) - 1
     doc = np.repeat(np.arange(len(texts)), lengths + 1)[: len(buf)]
-    spaces = (buf == 32).astype(np.int64)
-    code = buf.copy()
-    flat = out.reshape(-1)
+    code, flat = buf.copy(), out.reshape(-1)
     for n in range(2, max(GRAMS) + 1):
         code = (code[:-1] << np.uint32(8)) | buf[n - 1 :]
-        if n not in GRAMS or not len(code):
-            continue
-        at = np.arange(len(code))
-        # within one text, and not two spaces on end
-        inside = at + n <= bounds[doc[: len(code)] + 1] - 1
-        double = spaces[: len(code)] * spaces[1 : len(code) + 1]
-        keep = inside & (double == 0)
-        place = (code[keep] * _SPREAD[n]) >> np.uint32(32 - BITS)
-        flat[(doc[: len(code)][keep] * len(GRAMS) + GRAMS.index(n)) * size + place] = 1
+        if n in GRAMS and len(code):
+            own = doc[: len(code)]
+            inside = np.arange(len(code)) + n <= ends[own]
+            place = (code[inside] * _SPREAD[n]) >> np.uint32(32 - BITS)
+            flat[(own[inside] * len(GRAMS) + GRAMS.index(n)) * size + place] = 1
     return out
 
 
