@@ -1,0 +1,9 @@
+import pytest
+from compare import same
+
+from tidemark.llm.queries import ORACLES, QUERIES
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_against_sql(spark, sf_dir, duck, name):
+    same(QUERIES[name](spark, sf_dir).toPandas(), duck.execute(ORACLES[name]).df())
