@@ -47,8 +47,7 @@ def classify_since(log: DataFrame, keys: Sequence[str], op: str, version: str, b
 
 def prune_tombstones(log: DataFrame, op: str, version: str, snapshots: DataFrame, snapshot_version: str) -> DataFrame:
     """The log without deletions older than the oldest live snapshot; without snapshots, without any deletion."""
-    oldest = snapshots.agg(F.min(snapshot_version).alias("__oldest"))  # one row
-    return log.join(F.broadcast(oldest)).where((F.col(op) != "del") | (F.col(version) >= F.col("__oldest"))).drop("__oldest")
+    return log.where((F.col(op) != "del") | (F.col(version) >= snapshots.agg(F.min(snapshot_version)).scalar()))
 
 
 def prune_history(history: DataFrame, tick: str, keep: int, entity: Sequence[str] = ()) -> DataFrame:
@@ -56,8 +55,7 @@ def prune_history(history: DataFrame, tick: str, keep: int, entity: Sequence[str
     if entity:
         newest = F.max(tick).over(Window.partitionBy(*entity))
         return history.withColumn("__newest", newest).where(F.col(tick) >= F.col("__newest") - keep).drop("__newest")
-    newest = history.agg(F.max(tick).alias("__newest"))  # one row
-    return history.join(F.broadcast(newest)).where(F.col(tick) >= F.col("__newest") - keep).drop("__newest")
+    return history.where(F.col(tick) >= history.agg(F.max(tick)).scalar() - keep)
 
 
 def choose_baseline(clients: DataFrame, history: DataFrame, acked: str, tick: str) -> DataFrame:
@@ -67,6 +65,12 @@ def choose_baseline(clients: DataFrame, history: DataFrame, acked: str, tick: st
     return out.withColumn("message", F.when(F.col("__held").isNotNull(), "diff").otherwise("full")).withColumn("baseline", F.col("__held")).drop("__held")
 
 
+def message_plan(ticks: DataFrame, client: Sequence[str], tick: str) -> DataFrame:
+    """Each client's messages against its own last one: full at first, then a diff from the tick before."""
+    before = F.lag(tick).over(ordered(client, [tick]))
+    return ticks.withColumn("baseline", before).withColumn("message", F.when(F.col("baseline").isNull(), "full").otherwise("diff"))
+
+
 def dedupe_inputs(inputs: DataFrame, client: Sequence[str], arrival: Sequence[str], tick: str) -> DataFrame:
     """Inputs with a tick above all that their client sent before."""
     seen = F.max(tick).over(ordered(client, arrival).rowsBetween(Window.unboundedPreceding, -1))
