@@ -75,7 +75,7 @@ def test_bits(bits):
         with pytest.raises(wire.WireError):
             wire.pack_bits(bits)
     else:
-        assert wire.unpack_bits(wire.pack_bits(bits)) == (bits, 0)
+        assert wire.unpack_bits(wire.pack_bits(bits)) == (tuple(bits), 0)
 
 
 def test_run_limits():

@@ -8,6 +8,7 @@ key order, so equal states have equal bytes.
 
 from __future__ import annotations
 
+import functools
 import math
 import struct
 
@@ -48,11 +49,11 @@ def run_code(n: int) -> str:
     raise WireError(f"a run of {n} equal flags; the format ends at {LONGEST_RUN}")
 
 
-def pack_bits(bits: list[int]) -> bytes:
-    """Run-length coded bits with their count at the end; a single zero byte if there are none."""
+@functools.lru_cache(maxsize=1 << 14)
+def _pack(bits: tuple[int, ...]) -> bytes:
     if not bits:
         return b"\0"
-    code, begin = [str(bits[0])], 0
+    code, begin = ["1" if bits[0] else "0"], 0
     for i in range(1, len(bits) + 1):
         if i == len(bits) or bits[i] != bits[begin]:
             code.append(run_code(i - begin))
@@ -62,7 +63,30 @@ def pack_bits(bits: list[int]) -> bytes:
     return body + uvarint(len(text))[::-1]
 
 
-def unpack_bits(data: bytes) -> tuple[list[int], int]:
+def pack_bits(bits: list[int]) -> bytes:
+    """Run-length coded bits with their count at the end; a single zero byte if there are none.  Short patterns, which recur from row to row, are remembered."""
+    return _pack(tuple(bits)) if len(bits) <= 64 else _pack.__wrapped__(tuple(bits))
+
+
+@functools.lru_cache(maxsize=1 << 14)
+def _unpack(body: bytes, n: int) -> tuple[int, ...]:
+    code = "".join(f"{b:08b}"[::-1] for b in body)[:n]
+    bits, value, i = [], int(code[0]), 1
+    while i < n:
+        for low, _, prefix, width in RUN_CODES:
+            if code.startswith(prefix, i):
+                i += len(prefix)
+                if i + width > n:
+                    raise WireError("run code cut short")
+                bits += [value] * (low + (int(code[i : i + width], 2) if width else 0))
+                i, value = i + width, 1 - value
+                break
+        else:
+            raise WireError("bad run code")
+    return tuple(bits)
+
+
+def unpack_bits(data: bytes) -> tuple[tuple[int, ...], int]:
     """The bits, and where in `data` their code begins."""
     n = shift = 0
     at = len(data)
@@ -77,103 +101,76 @@ def unpack_bits(data: bytes) -> tuple[list[int], int]:
     size = -(-n // 8)
     if size > at:
         raise WireError("bit count beyond the data")
-    code = "".join(f"{b:08b}"[::-1] for b in data[at - size : at])[:n]
     if not n:
-        return [], at
-    bits, value, i = [], int(code[0]), 1
-    while i < n:
-        for low, _, prefix, width in RUN_CODES:
-            if code.startswith(prefix, i):
-                i += len(prefix)
-                if i + width > n:
-                    raise WireError("run code cut short")
-                bits += [value] * (low + (int(code[i : i + width], 2) if width else 0))
-                i, value = i + width, 1 - value
-                break
-        else:
-            raise WireError("bad run code")
-    return bits, at - size
+        return (), at
+    body = bytes(data[at - size : at])
+    return (_unpack if size <= 16 else _unpack.__wrapped__)(body, n), at - size
 
 
 class _Writer:
+    __slots__ = ("bits", "data", "strings")
+
     def __init__(self):
         self.data, self.bits, self.strings = bytearray(), [], {}
 
-    def string(self, v: str) -> None:
-        if not v:
-            self.data += b"\0"
-        elif v in self.strings:
-            self.data += uvarint(zigzag(-self.strings[v] - 1))
+    def number(self, v: int) -> None:
+        if v < 0x80:
+            self.data.append(v)
         else:
-            self.known(v)
-            raw = v.encode()
-            self.data += uvarint(zigzag(len(raw))) + raw
-
-    def known(self, v: str) -> None:
-        self.strings.setdefault(v, len(self.strings))
-
-    def ordinal(self, v: int, width: int) -> None:
-        self.bits += [v >> i & 1 for i in range(width - 1, -1, -1)]
+            self.data += uvarint(v)
 
     def done(self) -> bytes:
         return bytes(self.data) + pack_bits(self.bits)
 
 
 class _Reader:
+    __slots__ = ("at", "bit", "data", "end", "flags", "strings")
+
     def __init__(self, data: bytes):
         self.flags, self.end = unpack_bits(data)
         self.data, self.at, self.bit, self.strings = data, 0, 0, []
 
     def number(self) -> int:
+        at, data, end = self.at, self.data, self.end
+        if at < end and data[at] < 0x80:
+            self.at = at + 1
+            return data[at]
         out = shift = 0
         while True:
-            if self.at >= self.end or shift > 63:
+            if at >= end or shift > 63:
                 raise WireError("data cut short")
-            b = self.data[self.at]
-            self.at += 1
+            b = data[at]
+            at += 1
             out |= (b & 0x7F) << shift
-            shift += 7
             if b < 0x80:
+                self.at = at
                 return out
+            shift += 7
 
     def signed(self) -> int:
         v = self.number()
-        return v >> 1 if not v & 1 else -(v + 1 >> 1)
+        return -(v + 1 >> 1) if v & 1 else v >> 1
 
     def raw(self, n: int) -> bytes:
-        if n < 0 or self.at + n > self.end:
+        at = self.at
+        if n < 0 or at + n > self.end:
             raise WireError("data cut short")
-        self.at += n
-        return self.data[self.at - n : self.at]
+        self.at = at + n
+        return self.data[at : at + n]
 
     def size(self) -> int:
-        """A count of things that take a bit or a byte each, so no more than what is left."""
+        """A count of things that take a bit or a byte each, so no more than what is left allows."""
         n = self.number()
         if n > 300 * (len(self.data) + 1) * 8:
             raise WireError("a count beyond the data")
         return n
 
-    def string(self) -> str:
-        n = self.signed()
-        if n == 0:
-            return ""
-        if n < 0:
-            if -n > len(self.strings):
-                raise WireError("a string that wasn't sent")
-            return self.strings[-n - 1]
-        v = self.raw(n).decode()
-        self.strings.append(v)
-        return v
-
-    def known(self, v: str) -> None:
-        if v not in self.strings:
-            self.strings.append(v)
-
-    def flag(self) -> bool:
-        if self.bit >= len(self.flags):
+    def flag(self) -> int:
+        bit = self.bit
+        if bit >= len(self.flags):
             raise WireError("no flags left")
-        self.bit += 1
-        return bool(self.flags[self.bit - 1])
+        self.bit = bit + 1
+        return self.flags[bit]
 
     def ordinal(self, width: int, n: int) -> int:
         v = 0
@@ -184,226 +181,365 @@ class _Reader:
         return v
 
 
+class _Kind:
+    """The functions of one type: put(v, out), get(read), put_value(a, b, out), get_value(a, read), same(a, b).
+
+    put and get are snapshots.  In a difference a field says whether it changed (put_field, get_field); a value stands in a
+    list of changes, or below a changed field, and doesn't.
+    """
+
+    __slots__ = ("flag_only", "get", "get_value", "put", "put_value", "same")
+
+    def __init__(self):
+        self.flag_only = False
+
+    def put_field(self, a, b, out: _Writer) -> None:
+        if self.same(a, b):
+            out.bits.append(0)
+        else:
+            out.bits.append(1)
+            if not self.flag_only:
+                self.put_value(a, b, out)
+
+    def get_field(self, a, read: _Reader):
+        return self.get_value(a, read) if read.flag() else a
+
+
+def _equal(a, b) -> bool:
+    return a == b
+
+
 class Codec:
-    """Encoder, decoder and comparer of states of one root type."""
+    """Encoder, decoder and comparer of states of one root type, compiled from the schema to closures once."""
 
     def __init__(self, schema: Schema, root: str, epsilon: float = EPSILON):
         self.schema, self.type, self.epsilon = schema, Ref(root), epsilon
         self.is_union = isinstance(schema.root(root, enums=True), Union)
+        self._kinds: dict[Type, _Kind] = {}
+        self._root = self._kind(self.type)
+
+    def __reduce__(self):
+        return Codec, (self.schema, self.type.name, self.epsilon)
 
     # -- public
 
     def encode(self, state) -> bytes:
         out = _Writer()
-        self._put(self.type, state, out)
+        self._write(self._root.put, state, out)
         return out.done()
 
     def decode(self, data: bytes):
-        return self._get(self.type, _Reader(data))
+        return self._root.get(_Reader(data))
 
     def encode_diff(self, old, new) -> bytes:
         out = _Writer()
-        if self.is_union:
-            self._put_value(self.type, old, new, out)
-        else:
-            self._put_field(self.type, old, new, out)
+        self._write(self._root.put_value if self.is_union else self._root.put_field, old, new, out)
         return out.done()
 
     def decode_diff(self, old, data: bytes):
         read = _Reader(data)
-        return self._get_value(self.type, old, read) if self.is_union else self._get_field(self.type, old, read)
-
-    def equals(self, a, b, t: Type | None = None) -> bool:
-        t = self.schema.resolve(t or self.type)
-        if a is None or b is None:
-            return a is None and b is None
-        match t:
-            case Optional(x):
-                return self.equals(a, b, x)
-            case Float(precision):
-                return quantum(a, precision) == quantum(b, precision) if precision else abs(a - b) < self.epsilon
-            case Array(x):
-                return len(a) == len(b) and all(self.equals(p, q, x) for p, q in zip(a, b, strict=True))
-            case Map(_, x):
-                return len(a) == len(b) and all(k in b and self.equals(v, b[k], x) for k, v in a.items())
-            case Object(fields):
-                return all(self.equals(a.get(n), b.get(n), x) for n, x in fields)
-            case Union():
-                return a["_type"] == b["_type"] and self.equals(a[a["_type"]], b[b["_type"]], Ref(a["_type"]))
-        return a == b
-
-    # -- snapshots
-
-    def _put(self, t: Type, v, out: _Writer) -> None:
-        t = self.schema.resolve(t)
-        if v is None and not isinstance(t, Optional):
-            raise WireError(f"no value for {type(t).__name__}")
-        match t:
-            case String():
-                out.string(v)
-            case Int(low, _):
-                if low is not None and low >= 0:
-                    if v < low:
-                        raise WireError(f"{v} is below {low}")
-                    out.data += uvarint(v - low)
-                else:
-                    out.data += uvarint(zigzag(v))
-            case Float(precision):
-                out.data += uvarint(zigzag(quantum(v, precision))) if precision else struct.pack("<f", v)
-            case Boolean():
-                out.bits.append(int(v))
-            case Enum(options):
-                out.ordinal(options.index(v), option_bits(len(options)))
-            case Optional(x):
-                out.bits.append(int(v is not None))
-                if v is not None:
-                    self._put(x, v, out)
-            case Array(x):
-                out.data += uvarint(len(v))
-                for item in v:
-                    self._put(x, item, out)
-            case Map(k, x):
-                out.data += uvarint(len(v))
-                for key in sorted(v):
-                    self._put(k, key, out)
-                    self._put(x, v[key], out)
-            case Object(fields):
-                for name, x in fields:
-                    self._put(x, v.get(name), out)
-            case Union(options):
-                out.ordinal(options.index(v["_type"]), option_bits(len(options)))
-                self._put(Ref(v["_type"]), v[v["_type"]], out)
-
-    def _get(self, t: Type, read: _Reader):
-        t = self.schema.resolve(t)
-        match t:
-            case String():
-                return read.string()
-            case Int(low, _):
-                return read.number() + low if low is not None and low >= 0 else read.signed()
-            case Float(precision):
-                return read.signed() * precision if precision else struct.unpack("<f", read.raw(4))[0]
-            case Boolean():
-                return read.flag()
-            case Enum(options):
-                return options[read.ordinal(option_bits(len(options)), len(options))]
-            case Optional(x):
-                return self._get(x, read) if read.flag() else None
-            case Array(x):
-                return [self._get(x, read) for _ in range(read.size())]
-            case Map(k, x):
-                return {self._get(k, read): self._get(x, read) for _ in range(read.size())}
-            case Object(fields):
-                return {name: self._get(x, read) for name, x in fields}
-            case Union(options):
-                name = options[read.ordinal(option_bits(len(options)), len(options))]
-                return {"_type": name, name: self._get(Ref(name), read)}
-
-    # -- differences: a field says whether it changed; a value stands in a list of changes and doesn't
-
-    def _put_field(self, t: Type, a, b, out: _Writer) -> None:
-        changed = not self.equals(a, b, t)
-        out.bits.append(int(changed))
-        if changed and not isinstance(self.schema.resolve(t), Boolean):
-            self._put_value(t, a, b, out)
-
-    def _put_value(self, t: Type, a, b, out: _Writer) -> None:
-        t = self.schema.resolve(t)
-        match t:
-            case Boolean():
-                pass
-            case String():
-                out.known(a)
-                out.string(b)
-            case Optional(x):
-                if a is None:
-                    self._put(x, b, out)
-                else:
-                    out.bits.append(int(b is not None))
-                    if b is not None:
-                        self._put_value(x, a, b, out)
-            case Array(x):
-                changed = [i for i, (p, q) in enumerate(zip(a, b, strict=False)) if not self.equals(p, q, x)]
-                out.data += uvarint(len(b)) + uvarint(len(changed))
-                for i in changed:
-                    out.data += uvarint(i)
-                    self._put_value(x, a[i], b[i], out)
-                for item in b[len(a) :]:
-                    self._put(x, item, out)
-            case Map(k, x):
-                if a:
-                    gone = sorted(a.keys() - b.keys())
-                    changed = [key for key in sorted(a.keys() & b.keys()) if not self.equals(a[key], b[key], x)]
-                    out.data += uvarint(len(gone))
-                    for key in gone:
-                        self._put(k, key, out)
-                    out.data += uvarint(len(changed))
-                    for key in changed:
-                        self._put(k, key, out)
-                        self._put_value(x, a[key], b[key], out)
-                new = sorted(b.keys() - a.keys())
-                out.data += uvarint(len(new))
-                for key in new:
-                    self._put(k, key, out)
-                    self._put(x, b[key], out)
-            case Object(fields):
-                for name, x in fields:
-                    self._put_field(x, a.get(name), b.get(name), out)
-            case Union(options):
-                same = a["_type"] == b["_type"]
-                out.bits.append(int(same))
-                if same:
-                    self._put_value(Ref(b["_type"]), a[a["_type"]], b[b["_type"]], out)
-                else:
-                    self._put(t, b, out)
-            case _:
-                self._put(t, b, out)
-
-    def _get_field(self, t: Type, a, read: _Reader):
-        if not read.flag():
-            return a
-        return self._get_value(t, a, read)
-
-    def _get_value(self, t: Type, a, read: _Reader):
+        return self._root.get_value(old, read) if self.is_union else self._root.get_field(old, read)
+
+    def equals(self, a, b) -> bool:
+        return self._root.same(a, b)
+
+    @staticmethod
+    def _write(fn, *args) -> None:
+        try:
+            fn(*args)
+        except (TypeError, AttributeError, KeyError, ValueError, OverflowError) as e:
+            raise e if isinstance(e, WireError) else WireError(f"the state doesn't fit its type: {e}") from e
+
+    # -- compilation
+
+    def _kind(self, t: Type) -> _Kind:
         t = self.schema.resolve(t)
-        match t:
-            case Boolean():
-                return not a
-            case String():
-                read.known(a)
-                return read.string()
-            case Optional(x):
-                if a is None:
-                    return self._get(x, read)
-                return self._get_value(x, a, read) if read.flag() else None
-            case Array(x):
-                size = read.size()
-                out = list(a[:size])
+        if t not in self._kinds:
+            kind = self._kinds[t] = _Kind()
+            match t:
+                case String():
+                    self._string(kind)
+                case Int(low, _):
+                    self._int(kind, low)
+                case Float(precision):
+                    self._float(kind, precision)
+                case Boolean():
+                    self._boolean(kind)
+                case Enum(options):
+                    self._enum(kind, options)
+                case Optional(x):
+                    self._optional(kind, self._kind(x))
+                case Array(x):
+                    self._array(kind, self._kind(x))
+                case Map(k, x):
+                    self._map(kind, self._kind(k), self._kind(x))
+                case Object(fields):
+                    self._object(kind, [(name, self._kind(x)) for name, x in fields])
+                case Union(options):
+                    self._union(kind, [(o, self._kind(Ref(o))) for o in options])
+        return self._kinds[t]
+
+    @staticmethod
+    def _whole(kind: _Kind) -> None:
+        """A changed value is sent whole."""
+        put, get = kind.put, kind.get
+        kind.put_value = lambda a, b, out: put(b, out)
+        kind.get_value = lambda a, read: get(read)
+
+    def _string(self, kind: _Kind) -> None:
+        def put(v, out):
+            if not v:
+                if v is None:
+                    raise WireError("no value for a string")
+                out.data.append(0)
+                return
+            at = out.strings.get(v)
+            if at is None:
+                out.strings[v] = len(out.strings)
+                raw = v.encode()
+                out.number(2 * len(raw))
+                out.data += raw
+            else:
+                out.number(2 * at + 1)
+
+        def get(read):
+            n = read.signed()
+            if n > 0:
+                v = read.raw(n).decode()
+                read.strings.append(v)
+                return v
+            if not n:
+                return ""
+            if -n > len(read.strings):
+                raise WireError("a string that wasn't sent")
+            return read.strings[-n - 1]
+
+        def put_value(a, b, out):
+            out.strings.setdefault(a, len(out.strings))
+            put(b, out)
+
+        def get_value(a, read):
+            if a not in read.strings:
+                read.strings.append(a)
+            return get(read)
+
+        kind.put, kind.get, kind.put_value, kind.get_value, kind.same = put, get, put_value, get_value, _equal
+
+    def _int(self, kind: _Kind, low: int | None) -> None:
+        if low is not None and low >= 0:
+
+            def put(v, out):
+                if v < low:
+                    raise WireError(f"{v} is below {low}")
+                out.number(v - low)
+
+            def get(read):
+                return read.number() + low
+
+        else:
+
+            def put(v, out):
+                out.number(2 * v if v >= 0 else -2 * v - 1)
+
+            def get(read):
+                return read.signed()
+
+        kind.put, kind.get, kind.same = put, get, _equal
+        self._whole(kind)
+
+    def _float(self, kind: _Kind, precision: float | None) -> None:
+        if precision:
+
+            def put(v, out):
+                q = quantum(v, precision)
+                out.number(2 * q if q >= 0 else -2 * q - 1)
+
+            def get(read):
+                return read.signed() * precision
+
+            def same(a, b):
+                return quantum(a, precision) == quantum(b, precision)
+
+        else:
+            form, epsilon = struct.Struct("<f"), self.epsilon
+
+            def put(v, out):
+                try:
+                    out.data += form.pack(v)
+                except struct.error as e:
+                    raise WireError(f"no float: {v!r}") from e
+
+            def get(read):
+                return form.unpack(read.raw(4))[0]
+
+            def same(a, b):
+                return abs(a - b) < epsilon
+
+        kind.put, kind.get, kind.same = put, get, same
+        self._whole(kind)
+
+    def _boolean(self, kind: _Kind) -> None:
+        kind.flag_only = True
+        kind.put = lambda v, out: out.bits.append(int(v))
+        kind.get = lambda read: bool(read.flag())
+        kind.put_value = lambda a, b, out: None
+        kind.get_value = lambda a, read: not a
+        kind.same = _equal
+
+    def _enum(self, kind: _Kind, options: tuple[str, ...]) -> None:
+        width = option_bits(len(options))
+        bits = {o: [i >> k & 1 for k in range(width - 1, -1, -1)] for i, o in enumerate(options)}
+
+        def put(v, out):
+            out.bits += bits[v]
+
+        kind.put, kind.same = put, _equal
+        kind.get = lambda read: options[read.ordinal(width, len(options))]
+        self._whole(kind)
+
+    def _optional(self, kind: _Kind, inner: _Kind) -> None:
+        def put(v, out):
+            if v is None:
+                out.bits.append(0)
+            else:
+                out.bits.append(1)
+                inner.put(v, out)
+
+        def put_value(a, b, out):
+            if a is None:
+                inner.put(b, out)
+            elif b is None:
+                out.bits.append(0)
+            else:
+                out.bits.append(1)
+                inner.put_value(a, b, out)
+
+        def get_value(a, read):
+            if a is None:
+                return inner.get(read)
+            return inner.get_value(a, read) if read.flag() else None
+
+        def same(a, b):
+            return a is b if a is None or b is None else inner.same(a, b)
+
+        kind.put, kind.put_value, kind.get_value, kind.same = put, put_value, get_value, same
+        kind.get = lambda read: inner.get(read) if read.flag() else None
+
+    def _array(self, kind: _Kind, item: _Kind) -> None:
+        def put(v, out):
+            out.number(len(v))
+            for x in v:
+                item.put(x, out)
+
+        def put_value(a, b, out):
+            changed = [i for i, (p, q) in enumerate(zip(a, b, strict=False)) if not item.same(p, q)]
+            out.number(len(b))
+            out.number(len(changed))
+            for i in changed:
+                out.number(i)
+                item.put_value(a[i], b[i], out)
+            for x in b[len(a) :]:
+                item.put(x, out)
+
+        def get_value(a, read):
+            size = read.size()
+            out = list(a[:size])
+            for _ in range(read.size()):
+                i = read.number()
+                if i >= len(out):
+                    raise WireError("a change beyond the array")
+                out[i] = item.get_value(a[i], read)
+            out += [item.get(read) for _ in range(len(a), size)]
+            return out
+
+        kind.put, kind.put_value, kind.get_value = put, put_value, get_value
+        kind.get = lambda read: [item.get(read) for _ in range(read.size())]
+        kind.same = lambda a, b: len(a) == len(b) and all(map(item.same, a, b))
+
+    def _map(self, kind: _Kind, key: _Kind, item: _Kind) -> None:
+        def put(v, out):
+            out.number(len(v))
+            for k in sorted(v):
+                key.put(k, out)
+                item.put(v[k], out)
+
+        def put_value(a, b, out):
+            if a:
+                gone = sorted(a.keys() - b.keys())
+                out.number(len(gone))
+                for k in gone:
+                    key.put(k, out)
+                changed = [k for k in sorted(a.keys() & b.keys()) if not item.same(a[k], b[k])]
+                out.number(len(changed))
+                for k in changed:
+                    key.put(k, out)
+                    item.put_value(a[k], b[k], out)
+            new = sorted(b.keys() - a.keys())
+            out.number(len(new))
+            for k in new:
+                key.put(k, out)
+                item.put(b[k], out)
+
+        def get_value(a, read):
+            out = dict(a)
+            if a:
                 for _ in range(read.size()):
-                    i = read.number()
-                    if i >= len(out):
-                        raise WireError("a change beyond the array")
-                    out[i] = self._get_value(x, a[i], read)
-                out += [self._get(x, read) for _ in range(len(a), size)]
-                return out
-            case Map(k, x):
-                out = dict(a)
-                if a:
-                    for _ in range(read.size()):
-                        out.pop(self._get(k, read), None)
-                    for _ in range(read.size()):
-                        key = self._get(k, read)
-                        if key not in out:
-                            raise WireError("a change of a missing key")
-                        out[key] = self._get_value(x, out[key], read)
+                    out.pop(key.get(read), None)
                 for _ in range(read.size()):
-                    key = self._get(k, read)
-                    out[key] = self._get(x, read)
-                return out
-            case Object(fields):
-                return {name: self._get_field(x, a.get(name), read) for name, x in fields}
-            case Union():
-                if read.flag():
-                    return {"_type": a["_type"], a["_type"]: self._get_value(Ref(a["_type"]), a[a["_type"]], read)}
-                return self._get(t, read)
-        return self._get(t, read)
+                    k = key.get(read)
+                    if k not in out:
+                        raise WireError("a change of a missing key")
+                    out[k] = item.get_value(out[k], read)
+            for _ in range(read.size()):
+                k = key.get(read)
+                out[k] = item.get(read)
+            return out
+
+        kind.put, kind.put_value, kind.get_value = put, put_value, get_value
+        kind.get = lambda read: {key.get(read): item.get(read) for _ in range(read.size())}
+        kind.same = lambda a, b: len(a) == len(b) and all(k in b and item.same(v, b[k]) for k, v in a.items())
+
+    def _object(self, kind: _Kind, fields: list[tuple[str, _Kind]]) -> None:
+        def put(v, out):
+            for name, x in fields:
+                x.put(v.get(name), out)
+
+        def put_value(a, b, out):
+            for name, x in fields:
+                x.put_field(a.get(name), b.get(name), out)
+
+        kind.put, kind.put_value = put, put_value
+        kind.get = lambda read: {name: x.get(read) for name, x in fields}
+        kind.get_value = lambda a, read: {name: x.get_field(a.get(name), read) for name, x in fields}
+        kind.same = lambda a, b: all(x.same(a.get(name), b.get(name)) for name, x in fields)
+
+    def _union(self, kind: _Kind, options: list[tuple[str, _Kind]]) -> None:
+        kinds, width = dict(options), option_bits(len(options))
+        bits = {o: [i >> k & 1 for k in range(width - 1, -1, -1)] for i, (o, _) in enumerate(options)}
+
+        def put(v, out):
+            name = v["_type"]
+            out.bits += bits[name]
+            kinds[name].put(v[name], out)
+
+        def get(read):
+            name, x = options[read.ordinal(width, len(options))]
+            return {"_type": name, name: x.get(read)}
+
+        def put_value(a, b, out):
+            name = b["_type"]
+            if a["_type"] == name:
+                out.bits.append(1)
+                kinds[name].put_value(a[name], b[name], out)
+            else:
+                out.bits.append(0)
+                put(b, out)
+
+        def get_value(a, read):
+            if read.flag():
+                name = a["_type"]
+                return {"_type": name, name: kinds[name].get_value(a[name], read)}
+            return get(read)
+
+        kind.put, kind.get, kind.put_value, kind.get_value = put, get, put_value, get_value
+        kind.same = lambda a, b: a["_type"] == b["_type"] and kinds[a["_type"]].same(a[a["_type"]], b[b["_type"]])

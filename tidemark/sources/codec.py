@@ -66,6 +66,31 @@ def loosened(t: T.DataType) -> T.DataType:
     return t
 
 
+def _reached(schema: Schema, t: Type, seen: set[str] | None = None) -> tuple[set[type], bool]:
+    """The kinds of types below a type, and whether a named type stands within itself."""
+    seen = set() if seen is None else seen
+    kinds, recursive = {type(t)}, False
+    inner: list[tuple[Type, set[str]]] = []
+    match t:
+        case Ref(name):
+            if name in seen:
+                return kinds, True
+            inner = [(schema.named[name], seen | {name})]
+        case Optional(x) | Array(x):
+            inner = [(x, seen)]
+        case Map(k, x):
+            inner = [(k, seen), (x, seen)]
+        case Object(fields):
+            inner = [(x, seen) for _, x in fields]
+        case Union(options):
+            inner = [(Ref(o), seen) for o in options]
+    for x, path in inner:
+        more, again = _reached(schema, x, path)
+        kinds |= more
+        recursive |= again
+    return kinds, recursive
+
+
 class StateColumns:
     """Column functions for states of one root type.
 
@@ -75,10 +100,14 @@ class StateColumns:
     def __init__(self, schema: Schema, root: str, depth: int = 3, epsilon: float = EPSILON, lenient: bool = False):
         self.schema, self.root, self.depth, self.lenient = schema, root, depth, lenient
         self.codec = Codec(schema, root, epsilon)
+        kinds, self.recursive = _reached(schema, Ref(root))
+        # without maps and unions, and within the depth, an Arrow value is a state as it is
+        self.plain = not kinds & {Map, Union} and not self.recursive
         self.type: T.DataType = loosened(to_spark(schema, Ref(root), depth))
 
     def _states(self, column: pa.Array) -> list:
-        return [to_state(self.schema, Ref(self.root), v) for v in column.to_pylist()]
+        values = column.to_pylist()
+        return values if self.plain else [to_state(self.schema, Ref(self.root), v) for v in values]
 
     def _apply(self, fn: Callable, *rows: list) -> list:
         out = []
@@ -95,11 +124,9 @@ class StateColumns:
         return out
 
     def _column(self, states: list) -> pa.Array:
-        for s in states:
-            if too_deep(self.schema, Ref(self.root), s, self.depth):
-                raise WireError(f"a state nests deeper than {self.depth}")
-        kind = to_arrow_type(self.type)
-        return pa.array([from_state(self.schema, Ref(self.root), s) for s in states], kind)
+        if self.recursive and any(too_deep(self.schema, Ref(self.root), s, self.depth) for s in states):
+            raise WireError(f"a state nests deeper than {self.depth}")
+        return pa.array(states if self.plain else [from_state(self.schema, Ref(self.root), s) for s in states], to_arrow_type(self.type))
 
     def encode(self, state: Column) -> Column:
         @F.arrow_udf(T.BinaryType())
