@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import stored, table, text_bytes
+from tidemark.llm.common import bounded_batches, drop_stored, stored, table, text_bytes
 from tidemark.llm.kernels import Words, chunks, sliding_min
 
 WINDOW = 50
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 500_000
 #: Text bytes of the documents of one shard.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
+#: Documents with one smallest owner that go to one shard; those of a larger group are dealt to several.
+GROUP = 500
 _OUT_ROWS = 200_000
 
 
@@ -227,6 +229,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     no words; null ids are no smaller document and lose nothing; rows that repeat an id are one document, which doesn't
     repeat itself; empty input gives empty results.  Other columns of `docs` aren't looked at.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
     keyed = rows.withColumn("key", F.md5("text"))
     copies = stored(keyed.groupBy("key").agg(F.min("id").alias("first")), "passage-copies")
@@ -235,19 +238,25 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     picked = runs.select("h", "id").join(recurring, "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("picked"))
     firsts = copies.select(F.col("first").alias("id"), "key")
     marked = stored(keyed.join(picked.join(firsts, "id"), ["id", "key"]).select("id", "key", "text", "picked"), "passage-marked")
+    drop_stored(recurring)
     windows = stored(recurring_windows(marked, window), "passage-windows")
     confirmed = stored(windows.groupBy("w").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("w", "owner"), "passage-confirmed")
     owned = confirmed.groupBy(F.col("owner").alias("id")).agg(F.collect_list("w").alias("owned"))
     passages = owned_passages(marked.join(owned, "id"), window)
     routes = windows.join(confirmed, "w").where("owner < id").groupBy("id").agg(F.collect_set("owner").alias("owners"))
     routes = stored(routes, "passage-routes")
+    drop_stored(windows)
     total = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(total / SHARD_BYTES))
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards))
-    wanted = routes.select(shard.alias("shard"), F.explode("owners").alias("owner")).distinct()
+    # documents that share an owner go together, so that its passages are sent and compiled once
+    routes = routes.withColumn("main", F.array_min("owners"))
+    groups = routes.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    shard = F.pmod(F.xxhash64("main", F.pmod(F.xxhash64("id"), F.col("parts"))), F.lit(shards))
+    routes = stored(routes.join(groups, "main").select("id", "owners", shard.alias("shard")), "passage-shards")
+    wanted = routes.select("shard", F.explode("owners").alias("owner")).distinct()
     empty = F.array().cast("array<bigint>")
     sent = wanted.join(passages, "owner").select("shard", F.lit(False).alias("is_doc"), F.col("owner").alias("id"), F.lit("").alias("key"), "text", empty.alias("owners"))
-    read = marked.join(routes, "id").select(shard.alias("shard"), F.lit(True).alias("is_doc"), "id", "key", "text", "owners")
+    read = marked.join(routes, "id").select("shard", F.lit(True).alias("is_doc"), "id", "key", "text", "owners")
     dealt = sent.unionByName(read).repartition(shards, "shard").sortWithinPartitions("shard", "is_doc", "id")
     return dealt.mapInArrow(_locate(window), _FOUND), copies
 
