@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import stored, table, text_bytes
+from tidemark.llm.common import bounded_batches, drop_stored, stored, table, text_bytes
 from tidemark.llm.components import components
 from tidemark.llm.kernels import WHITESPACE, U, Words, chunks, mix
 
@@ -35,7 +35,7 @@ EMPTY = np.uint16(0xFFFF)
 SMALLEST_LARGE, LARGEST_SMALL = 192, 256
 #: Estimates this far below the threshold are dropped: four standard errors, sqrt(0.75 * 0.25 / 128) each.
 MARGIN = 0.153
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 500_000
 #: Classes of one band that meet in one block.
 BLOCK = 1024
 #: And the shingles of a block's classes (8 bytes each), so that long documents make smaller blocks.
@@ -245,9 +245,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(docs.join(F.broadcast(ids) if small else ids, F.col("id") == F.col("want"), "left_semi").select("id", "text").mapInArrow(_sets, "rep long, shingles binary"), "neardup-sets")
 
 
-def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) candidate pairs -> those that the full sets link."""
-    sets = _full_sets(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
     left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long").distinct()
 
@@ -266,6 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows that repeat an id are one document: the links of either text are links of both.  Empty input gives an empty
     result.  Other columns of `docs` aren't looked at.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sketched = stored(docs.mapInArrow(_sketches, _SKETCHED), "neardup-sketches")
     classes = stored(sketched.where("s1 is not null and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "neardup-classes")
@@ -275,7 +275,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     members = stored(bands.join(hubs, "band"), "neardup-members")
     star = members.where("rep > lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).unionByName(members.where("rep < hi").select(F.col("hi").alias("a"), F.col("rep").alias("b"))).distinct()
-    links = stored(_verify(docs, stored(_estimated(star, reps), "neardup-pairs")), "neardup-links")
+    pairs = stored(_estimated(star, reps), "neardup-pairs")
+    sets = _full_sets(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
+    links = stored(_verify(pairs, sets), "neardup-links")
+    drop_stored(bands, pairs, sets)
     merged = stored(components(links), "neardup-components")
 
     # bands that still hold several components; one of two classes was compared in full already
@@ -292,6 +295,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = _full_sets(docs, hope.select("rep"))
     more = hope.join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_open_links, "a long, b long").distinct()
     merged = stored(components(links.unionByName(more)), "neardup-components")
+    drop_stored(members, hope, sets)
 
     out = sketched.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
     out = out.join(merged, F.col("rep") == F.col("node"), "left")
