@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh, stored, table, text_bytes
+from tidemark.llm.common import bounded_batches, fresh, stored, table, text_bytes
 
 WINDOW = 13
 BLOCK = 3
 #: Benchmark words compiled into one matcher.  A larger benchmark is searched for in several passes, so that neither the
 #: driver nor a worker ever holds more than this many.
-MATCHER_WORDS = 2_000_000
+MATCHER_WORDS = 250_000
 
 # Words are runs of 0-9, a-z (after lower-casing A-Z) and everything outside ASCII.
 _TABLE = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256)).lower()
@@ -113,6 +113,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     searches every document for one bounded part of the benchmark.  Null text has no words.  A null item id contaminates,
     but isn't listed.  Repeated rows, ties and empty tables need no care: each row is judged alone.
     """
+    bounded_batches(docs.sparkSession)
     names = {k: fresh(docs, k) for k in ("n_words", "spans", "items")}
     spans_type = T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField(names["n_words"], T.LongType()), T.StructField(names["spans"], spans_type), T.StructField(names["items"], T.ArrayType(T.StringType()))])
