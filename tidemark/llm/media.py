@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table, text_bytes
+from tidemark.llm.common import bounded_batches, table, text_bytes
 
 # Fixed values of the format.
 PACKET, SYNC, PAT_PID, PMT_PID, ES_PID, PROGRAM, PRIVATE_DATA, PRIVATE_STREAM_1 = 188, 0x47, 0x0000, 0x1000, 0x0100, 1, 0x06, 0xBD
@@ -193,6 +193,7 @@ def padded(text: bytes | None) -> bytes:
 
 def to_streams(df: DataFrame, text_col: str, out_col: str = "media") -> DataFrame:
     """`df` with a binary column more: each text (null: empty) as a transport stream.  `out_col` must be no column of `df`."""
+    bounded_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType())])
     at = df.columns.index(text_col)
 
@@ -209,6 +210,7 @@ FEATURES = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField
 
 def parse_streams(df: DataFrame, media_col: str, out_col: str = "parsed") -> DataFrame:
     """`df` with a struct column more (FEATURES) from its transport streams; null for null.  `out_col` must be no column of `df`."""
+    bounded_batches(df.sparkSession)
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, FEATURES)])
     at = df.columns.index(media_col)
     kind = pa.struct([("payload", pa.binary()), ("program_pids", pa.list_(pa.int32())), ("stream_pids", pa.list_(pa.int32())), ("timestamps", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int64())), ("packets", pa.int64()), ("pes", pa.int64()), ("discontinuities", pa.int64())])
@@ -247,4 +249,5 @@ def _digest(batches):
 
 def op4_media(spark, sf_dir: str) -> DataFrame:
     """Store each document as a transport stream, parse it back, and report digests of what was read."""
+    bounded_batches(spark)
     return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digest, _DIGEST)
