@@ -302,7 +302,8 @@ def too_deep(schema: Schema, t: Type, value, depth: int = 3, _within: tuple[str,
 
 def to_ddl(schema: Schema, name: str, depth: int = 3) -> str:
     """Column definitions of an object type, for CREATE TABLE."""
-    return to_spark(schema, Ref(name), depth).toDDL() if hasattr(T.StructType, "toDDL") else ", ".join(f"{f.name} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in to_spark(schema, Ref(name), depth).fields)
+    fields = to_spark(schema, Ref(name), depth).fields
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}{'' if f.nullable else ' NOT NULL'}" for f in fields)
 
 
 def default(schema: Schema, t: Type):

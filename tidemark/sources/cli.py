@@ -13,7 +13,7 @@ import sys
 from pathlib import Path
 
 from tidemark.functions.jsonform import parse, render
-from tidemark.functions.schema import Object, Ref, SchemaError, parse_schema, to_spark
+from tidemark.functions.schema import Object, Ref, SchemaError, parse_schema, to_ddl
 from tidemark.functions.wire import Codec
 
 
@@ -47,7 +47,7 @@ def main(argv: list[str] | None = None) -> int:
     try:
         schema = parse_schema(Path(a.schema).read_text())
         if a.command == "generate":
-            lines = [f"CREATE TABLE {name} ({', '.join(f'{f.name} {f.dataType.simpleString()}' + ('' if f.nullable else ' NOT NULL') for f in to_spark(schema, Ref(name)).fields)});" for name, t in schema.named.items() if isinstance(t, Object)]
+            lines = [f"CREATE TABLE {name} ({to_ddl(schema, name)});" for name, t in schema.named.items() if isinstance(t, Object)]
             _write(a.output, ("\n".join(lines) + "\n").encode())
             return 0
         schema.root(a.type)
