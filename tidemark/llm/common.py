@@ -1,4 +1,4 @@
-"""What the training-data operators share: table access, scratch tables, Arrow batch mapping, ASCII case folding."""
+"""What the training-data operators share: table access, scratch tables, Arrow batches, ASCII case folding."""
 
 from __future__ import annotations
 
@@ -7,12 +7,10 @@ import shutil
 import string
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,13 +79,3 @@ def text_bytes(column: pa.Array) -> list[bytes | None]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
-
-
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
-    """mapInArrow with a function of one batch."""
-
-    def over(batches):
-        for batch in batches:
-            yield from fn(batch)
-
-    return df.mapInArrow(over, schema)
