@@ -8,7 +8,6 @@ in eleven words.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -188,8 +187,3 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN cover USING (rid) LEFT JOIN named USING (rid)
 """
-
-
-def digest(items: list[str]) -> str:
-    """items_sha256 of the contract, for tests."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
