@@ -9,19 +9,21 @@ matrix products.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table, text_bytes
+from tidemark.llm.common import bounded_batches, table, text_bytes
 from tidemark.llm.kernels import chunks
 from tidemark.llm.samples import crc_of, sample_ids
 
 GRAMS, BITS = (2, 3, 4), 13
-#: The classifier is fitted on at most so many texts of each language; so many of each are landmarks.
-TRAIN_PER_LANG, LANDMARKS_PER_LANG, RIDGE = 300, 40, 0.1
+#: The classifier is fitted on at most so many texts of each language; so many of each are landmarks, fewer where they would be more in all.
+TRAIN_PER_LANG, LANDMARKS_PER_LANG, LANDMARKS, RIDGE = 300, 40, 1000, 0.1
 UNKNOWN, SHARPNESS = "und", 6.0
 BATCH_DOCS, BATCH_BYTES = 256, 1_000_000
 
@@ -55,28 +57,37 @@ def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.maximum(x.sum(axis=2, keepdims=True), 1.0))
 
 
+def unpacked(bits: list[bytes]) -> np.ndarray:
+    """Normalised presence vectors, flat and scaled so that dot products are the blended kernel, from packed bits."""
+    x = np.unpackbits(np.frombuffer(b"".join(bits), dtype=np.uint8)).reshape(len(bits), len(GRAMS), -1)
+    return normalised(x.astype(np.float32)).reshape(len(bits), -1) / np.float32(np.sqrt(len(GRAMS)))
+
+
 class KernelRidge:
     """One-versus-rest kernel ridge regression on Nystroem features."""
 
-    def __init__(self, x: np.ndarray, classes: list[str], landmarks: np.ndarray):
-        """x: normalised presence of the training texts; landmarks: row numbers in x."""
+    def __init__(self, packed: list[bytes], classes: list[str], landmarks: list[int]):
+        """packed: presence bits of the training texts, unpacked a few at a time; landmarks: numbers of some of them."""
         self.names = sorted(set(classes))
-        flat = x.reshape(len(x), -1) / np.sqrt(len(GRAMS))
-        own = flat[landmarks]
-        kernel = (flat @ own.T).astype(np.float64)
+        own = unpacked([packed[i] for i in landmarks])
         value, vector = np.linalg.eigh((own @ own.T).astype(np.float64))
         keep = value > 1e-6 * max(value.max(), 1e-12)
         root = vector[:, keep] / np.sqrt(value[keep])
-        features = np.hstack([kernel @ root, np.ones((len(x), 1))])
-        target = np.array([[1.0 if c == name else -1.0 for name in self.names] for c in classes])
-        # every language weighs alike
-        weight = np.array([1.0 / classes.count(c) for c in classes])[:, None] * len(classes) / len(self.names)
-        penalty = RIDGE * np.eye(features.shape[1])
+        size, counts = root.shape[1] + 1, Counter(classes)
+        left, right = np.zeros((size, size)), np.zeros((size, len(self.names)))
+        for at in range(0, len(packed), BATCH_DOCS):
+            part = classes[at : at + BATCH_DOCS]
+            features = np.hstack([(unpacked(packed[at : at + BATCH_DOCS]) @ own.T).astype(np.float64) @ root, np.ones((len(part), 1))])
+            target = np.array([[1.0 if c == name else -1.0 for name in self.names] for c in part])
+            # every language weighs alike
+            weight = np.array([1.0 / counts[c] for c in part])[:, None] * len(classes) / len(self.names)
+            left += features.T @ (weight * features)
+            right += features.T @ (weight * target)
+        penalty = RIDGE * np.eye(size)
         penalty[-1, -1] = 1e-6
-        solved = np.linalg.solve(features.T @ (weight * features) + penalty, features.T @ (weight * target))
+        solved = np.linalg.solve(left + penalty, right)
         self.bias = solved[-1].astype(np.float32)
-        folded = own.T.astype(np.float64) @ (root @ solved[:-1]) / np.sqrt(len(GRAMS))
-        self.matrix = folded.astype(np.float32)
+        self.matrix = (own.T.astype(np.float64) @ (root @ solved[:-1]) / np.sqrt(len(GRAMS))).astype(np.float32)
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         return normalised(presence(texts)).reshape(len(texts), -1) @ self.matrix + self.bias
@@ -84,6 +95,7 @@ class KernelRidge:
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = TRAIN_PER_LANG, landmarks: int = LANDMARKS_PER_LANG) -> KernelRidge | None:
     """Fit on a bounded sample of `docs`; None if nothing is labelled."""
+    bounded_batches(docs.sparkSession)
     ids = sample_ids(docs.where(F.rlike(F.col(text_col), F.lit(r"\p{L}"))), id_col, lang_col, per_lang)
 
     def over(batches):
@@ -98,15 +110,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], r["id"], bytes(r["bits"])))
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], dtype=np.uint8)) for r in rows]).reshape(len(rows), len(GRAMS), -1).astype(np.float32)
     langs = [r["lang"] for r in rows]
-    seen: dict[str, int] = {}
-    marks = []
+    share, seen, marks = max(2, min(landmarks, LANDMARKS // len(set(langs)))), Counter(), []
     for i, lang in enumerate(langs):
-        seen[lang] = seen.get(lang, 0) + 1
-        if seen[lang] <= landmarks:
+        seen[lang] += 1
+        if seen[lang] <= share:
             marks.append(i)
-    return KernelRidge(normalised(x), langs, np.array(marks))
+    return KernelRidge([bytes(r["bits"]) for r in rows], langs, marks)
 
 
 def predict(docs: DataFrame, model: KernelRidge | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
@@ -115,6 +125,7 @@ def predict(docs: DataFrame, model: KernelRidge | None, text_col: str = "text",
     A text that is null or has no letter, or any text if nothing was learned, is `und` with score 0.  Whole texts are
     judged, rows alone: repeated rows get equal results; of equal scores the first language in code point order wins.
     """
+    bounded_batches(docs.sparkSession)
     lettered = "lang_lettered"
     while lettered in docs.columns:
         lettered += "_"
