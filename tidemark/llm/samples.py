@@ -13,7 +13,7 @@ def crc_of(id_col: Column) -> Column:
 
 
 def sample_ids(labelled: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
-    """(id, class): up to `per_class` rows of each class, those with the smallest id hashes; the same ones on every run.
+    """(s_id, s_class, s_at): up to `per_class` rows of each class, those with the smallest id hashes, numbered from 1 in that order; the same ones on every run.
 
     A first pass counts classes; a second keeps about twice as many rows as asked for by a hash threshold, so no class,
     however large, is sorted in one task.
@@ -25,4 +25,4 @@ def sample_ids(labelled: DataFrame, id_col: str, class_col: str, per_class: int)
     for name, n in counts.items():
         keep = keep | ((F.col("s_class") == F.lit(name)) & (F.col("s_hash") < int((1 << 52) * min(1.0, (2 * per_class + 50) / n))))
     w = Window.partitionBy("s_class").orderBy("s_hash", "s_id")
-    return rows.where(keep).withColumn("s_at", F.row_number().over(w)).where(F.col("s_at") <= per_class).select("s_id", "s_class")
+    return rows.where(keep).withColumn("s_at", F.row_number().over(w)).where(F.col("s_at") <= per_class).select("s_id", "s_class", "s_at")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh, table
+from tidemark.llm.common import bounded_batches, drop_stored, fresh, stored, table
 from tidemark.llm.samples import crc_of, sample_ids
 
 #: The classifier is fitted on at most so many labelled texts of either class.
@@ -26,7 +26,7 @@ TRAIN_PER_CLASS = 3000
 THRESHOLD = 0.7
 FOLDS, TREES, DEPTH, RATE, BINS, LEAF_L2, MIN_LEAF = 3, 60, 3, 0.15, 32, 1.0, 4
 #: A learned word or beginning stands in this many toxic texts at least, with this log-odds ratio at least.
-MIN_TEXTS, MIN_WEIGHT, PREFIXES = 2, 1.5, (5, 7)
+MIN_TEXTS, MIN_WEIGHT, PREFIXES = 3, 1.5, (5, 7)
 NEAR = 5
 
 # Common insults, and second-person words.
@@ -64,30 +64,10 @@ def terms(text: str) -> set[str]:
     return out
 
 
-def count_terms(texts: list[str], labels: np.ndarray, fold: np.ndarray) -> tuple[list[Counter], list[Counter]]:
-    """By fold, the toxic and the other texts that hold each term; only terms of toxic texts are counted."""
-    bad, good = [Counter() for _ in range(FOLDS)], [Counter() for _ in range(FOLDS)]
-    for i in np.flatnonzero(labels == 1):
-        bad[fold[i]].update(terms(texts[i]))
-    known = set().union(*bad)
-    for i in np.flatnonzero(labels == 0):
-        good[fold[i]].update(terms(texts[i]) & known)
-    return bad, good
-
-
-def learn_lexicon(bad: list[Counter], good: list[Counter], n1: int, n0: int) -> dict[str, float]:
-    """Log-odds ratios of the terms that toxic texts hold more often."""
-    total, other = Counter(), Counter()
-    for c in bad:
-        total.update(c)
-    for c in good:
-        other.update(c)
-    out = {}
-    for w, n in total.items():
-        weight = math.log((n + 0.5) / (n1 - n + 0.5)) - math.log((other[w] + 0.5) / (n0 - other[w] + 0.5))
-        if n >= MIN_TEXTS and weight >= MIN_WEIGHT:
-            out[w] = weight
-    return out
+def learn_lexicon(terms_: list[str], bad: np.ndarray, good: np.ndarray, n1: int, n0: int) -> dict[str, float]:
+    """Log-odds ratios of the terms that toxic texts hold more often: `bad` of n1 toxic texts, `good` of n0 others."""
+    weight = np.log((bad + 0.5) / (n1 - bad + 0.5)) - np.log((good + 0.5) / (n0 - good + 0.5))
+    return {terms_[i]: float(weight[i]) for i in np.flatnonzero((bad >= MIN_TEXTS) & (weight >= MIN_WEIGHT))}
 
 
 class Features:
@@ -235,27 +215,10 @@ class Isotonic:
 
 
 class Model:
-    """Lexicon, trees and calibration, learned from texts and 0/1 labels."""
-
-    def __init__(self, texts: list[str], labels: list[int]):
-        y = np.array(labels, dtype=np.float64)
-        fold = np.zeros(len(y), dtype=np.int64)
-        for label in (0, 1):
-            at = np.flatnonzero(y == label)
-            fold[at] = np.arange(len(at)) % FOLDS
-        bad, good = count_terms(texts, y, fold)
-        x = np.zeros((len(y), Features.COUNT))
-        for k in range(FOLDS):
-            rest = fold != k
-            features = Features(learn_lexicon(bad[:k] + bad[k + 1 :], good[:k] + good[k + 1 :], int(y[rest].sum()), int(rest.sum() - y[rest].sum())))
-            for i in np.flatnonzero(~rest):
-                x[i] = features(texts[i])
-        out_of_fold = np.zeros(len(y))
-        for k in range(FOLDS):
-            out_of_fold[fold == k] = Trees(x[fold != k], y[fold != k]).margin(x[fold == k])
-        self.features = Features(learn_lexicon(bad, good, int(y.sum()), int(len(y) - y.sum())))
-        self.trees = Trees(x, y)
-        self.calibration = Isotonic(out_of_fold, y)
+    """Lexicon, trees and calibration."""
+
+    def __init__(self, lexicon: dict[str, float], trees: Trees, calibration: Isotonic):
+        self.features, self.trees, self.calibration = Features(lexicon), trees, calibration
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not texts:
@@ -264,12 +227,58 @@ class Model:
         return np.clip(self.calibration(self.trees.margin(x)), 0.0, 1.0)
 
 
+def _sample_terms(batches):
+    """(label, fold, text) -> (term, label, fold), each term of a text once."""
+    for batch in batches:
+        for label, fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            held = sorted(terms(text))
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array([label] * len(held), pa.int32()), pa.array([fold] * len(held), pa.int32())], names=["term", "label", "fold"])
+
+
+def _sample_features(lexicons: list[dict[str, float]]):
+    def over(batches):
+        made = [Features(x) for x in lexicons]
+        for batch in batches:
+            x = [made[fold](text) for fold, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["label", "fold", "x"])
+
+    return over
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: int = TRAIN_PER_CLASS) -> Model | None:
-    """Fit on a bounded sample of the labelled documents, whole texts; None if no text is labelled."""
+    """Fit on a bounded sample of the labelled documents, whole texts; None if no text is labelled.
+
+    Terms are counted and features made on the executors; the driver gets the terms of at least MIN_TEXTS toxic texts with
+    their counts, and a row of features for each sampled text.
+    """
+    bounded_batches(docs.sparkSession)
     ids = sample_ids(labels, id_col, label_col, per_class)
     chosen = docs.select(F.col(id_col).alias("s_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "s_id").where("text is not null")
-    rows = sorted(chosen.select("s_id", "text", F.col("s_class").cast("int").alias("label")).collect())
-    return Model([r["text"] for r in rows], [r["label"] for r in rows]) if rows else None
+    sample = stored(chosen.select(F.col("s_class").cast("int").alias("label"), (F.col("s_at") % FOLDS).cast("int").alias("fold"), "text"), "toxicity-sample")
+
+    def held(label: int, fold: int):
+        return F.count_if((F.col("label") == label) & (F.col("fold") == fold)).alias(f"n{label}{fold}")
+
+    cells = [held(label, fold) for label in (1, 0) for fold in range(FOLDS)]
+    size = np.array(sample.agg(*cells).first(), dtype=np.int64).reshape(2, FOLDS)
+    if not size.sum():
+        return None
+    counted = sample.mapInArrow(_sample_terms, "term string, label int, fold int").groupBy("term").agg(*cells)
+    counted = counted.where(" + ".join(f"n1{k}" for k in range(FOLDS)) + f" >= {MIN_TEXTS}").toArrow().sort_by("term")
+    names = counted.column("term").to_pylist()
+    count = np.array([counted.column(i + 1).to_numpy() for i in range(2 * FOLDS)], dtype=np.int64).reshape(2, FOLDS, len(names))
+
+    def lexicon(left_out: int | None) -> dict[str, float]:
+        use = [k for k in range(FOLDS) if k != left_out]
+        return learn_lexicon(names, count[0, use].sum(axis=0), count[1, use].sum(axis=0), int(size[0, use].sum()), int(size[1, use].sum()))
+
+    rows = sorted(sample.mapInArrow(_sample_features([lexicon(k) for k in range(FOLDS)]), "label int, fold int, x array<double>").collect())
+    drop_stored(sample)
+    y, fold, x = np.array([r["label"] for r in rows], dtype=np.float64), np.array([r["fold"] for r in rows]), np.array([r["x"] for r in rows])
+    out_of_fold = np.zeros(len(y))
+    for k in range(FOLDS):
+        out_of_fold[fold == k] = Trees(x[fold != k], y[fold != k]).margin(x[fold == k])
+    return Model(lexicon(None), Trees(x, y), Isotonic(out_of_fold, y))
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col: str = "score") -> DataFrame:
@@ -277,6 +286,7 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col:
 
     Rows are judged alone, by whole texts: ties and repeated rows get equal scores; empty input gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
     at = docs.columns.index(text_col)
 
