@@ -47,6 +47,11 @@ def test_refused(text):
         S.parse_schema(text)
 
 
+def test_names_stay_text():
+    s = S.parse_schema("Switch: [on, off, 1]\nA: {on: boolean, no: Switch}")
+    assert s.named["Switch"] == S.Enum(("on", "off", "1")) and [n for n, _ in s.named["A"].fields] == ["on", "no"]
+
+
 def test_roots():
     s = S.parse_schema(TEXT)
     assert isinstance(s.root("Contact"), S.Union)

@@ -31,11 +31,11 @@ def zigzag(v: Column) -> Column:
 
 
 def varint_size(v: Column) -> Column:
-    """Bytes of an unsigned varint."""
-    out = F.lit(10)
-    for n in range(9, 0, -1):
-        out = F.when(v < F.lit(1 << 7 * n if 7 * n < 63 else (1 << 63) - 1), n).otherwise(out)
-    return out.cast("long")
+    """Bytes of a varint of a long, taken as unsigned."""
+    out = F.lit(9)
+    for n in range(8, 0, -1):
+        out = F.when(v < F.lit(1 << 7 * n), n).otherwise(out)
+    return F.when(v < 0, 10).otherwise(out).cast("long")
 
 
 def signed_size(v: Column) -> Column:

@@ -215,7 +215,7 @@ def parse_type(text: str) -> Type:
 
 def parse_schema(text: str) -> Schema:
     """A schema from YAML."""
-    raw = yaml.safe_load(text) or {}
+    raw = yaml.load(text, Loader=yaml.BaseLoader) or {}  # plain text throughout: `on` is a name, not a boolean
     if not isinstance(raw, dict):
         raise SchemaError("a schema is a mapping of type names")
     named: dict[str, Type] = {}

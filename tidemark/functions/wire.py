@@ -8,9 +8,9 @@ key order, so equal states have equal bytes.
 
 from __future__ import annotations
 
-import functools
 import math
 import struct
+from collections.abc import Sequence
 
 from tidemark.functions.schema import Array, Boolean, Enum, Float, Int, Map, Object, Optional, Ref, Schema, String, Type, Union, option_bits
 
@@ -49,8 +49,8 @@ def run_code(n: int) -> str:
     raise WireError(f"a run of {n} equal flags; the format ends at {LONGEST_RUN}")
 
 
-@functools.lru_cache(maxsize=1 << 14)
-def _pack(bits: tuple[int, ...]) -> bytes:
+def pack_bits(bits: Sequence[int]) -> bytes:
+    """Run-length coded bits with their count at the end; a single zero byte if there are none."""
     if not bits:
         return b"\0"
     code, begin = ["1" if bits[0] else "0"], 0
@@ -63,31 +63,8 @@ def _pack(bits: tuple[int, ...]) -> bytes:
     return body + uvarint(len(text))[::-1]
 
 
-def pack_bits(bits: list[int]) -> bytes:
-    """Run-length coded bits with their count at the end; a single zero byte if there are none.  Short patterns, which recur from row to row, are remembered."""
-    return _pack(tuple(bits)) if len(bits) <= 64 else _pack.__wrapped__(tuple(bits))
-
-
-@functools.lru_cache(maxsize=1 << 14)
-def _unpack(body: bytes, n: int) -> tuple[int, ...]:
-    code = "".join(f"{b:08b}"[::-1] for b in body)[:n]
-    bits, value, i = [], int(code[0]), 1
-    while i < n:
-        for low, _, prefix, width in RUN_CODES:
-            if code.startswith(prefix, i):
-                i += len(prefix)
-                if i + width > n:
-                    raise WireError("run code cut short")
-                bits += [value] * (low + (int(code[i : i + width], 2) if width else 0))
-                i, value = i + width, 1 - value
-                break
-        else:
-            raise WireError("bad run code")
-    return tuple(bits)
-
-
-def unpack_bits(data: bytes) -> tuple[tuple[int, ...], int]:
-    """The bits, and where in `data` their code begins."""
+def unpack_bits(data: bytes, known: dict[bytes, tuple[int, ...]] | None = None) -> tuple[tuple[int, ...], int]:
+    """The bits, and where in `data` their code begins.  Codes found in `known`, which is added to, aren't decoded again."""
     n = shift = 0
     at = len(data)
     while True:
@@ -103,8 +80,34 @@ def unpack_bits(data: bytes) -> tuple[tuple[int, ...], int]:
         raise WireError("bit count beyond the data")
     if not n:
         return (), at
-    body = bytes(data[at - size : at])
-    return (_unpack if size <= 16 else _unpack.__wrapped__)(body, n), at - size
+    tail = bytes(data[at - size :])
+    if known is not None and tail in known:
+        return known[tail], at - size
+    code = "".join(f"{b:08b}"[::-1] for b in tail[:size])[:n]
+    bits, value, i = [], int(code[0]), 1
+    while i < n:
+        for low, _, prefix, width in RUN_CODES:
+            if code.startswith(prefix, i):
+                i += len(prefix)
+                if i + width > n:
+                    raise WireError("run code cut short")
+                bits += [value] * (low + (int(code[i : i + width], 2) if width else 0))
+                i, value = i + width, 1 - value
+                break
+        else:
+            raise WireError("bad run code")
+    out = tuple(bits)
+    if known is not None:
+        remember(known, tail, out)
+    return out, at - size
+
+
+def remember(known: dict, key, value) -> None:
+    """Keep short patterns, which recur from row to row, in bounded memory."""
+    if len(key) <= 64:
+        if len(known) >= 1 << 14:
+            known.clear()
+        known[key] = value
 
 
 class _Writer:
@@ -119,15 +122,20 @@ class _Writer:
         else:
             self.data += uvarint(v)
 
-    def done(self) -> bytes:
-        return bytes(self.data) + pack_bits(self.bits)
+    def done(self, known: dict[tuple[int, ...], bytes]) -> bytes:
+        key = tuple(self.bits)
+        tail = known.get(key)
+        if tail is None:
+            tail = pack_bits(key)
+            remember(known, key, tail)
+        return bytes(self.data) + tail
 
 
 class _Reader:
     __slots__ = ("at", "bit", "data", "end", "flags", "strings")
 
-    def __init__(self, data: bytes):
-        self.flags, self.end = unpack_bits(data)
+    def __init__(self, data: bytes, known: dict[bytes, tuple[int, ...]]):
+        self.flags, self.end = unpack_bits(data, known)
         self.data, self.at, self.bit, self.strings = data, 0, 0, []
 
     def number(self) -> int:
@@ -216,6 +224,8 @@ class Codec:
         self.schema, self.type, self.epsilon = schema, Ref(root), epsilon
         self.is_union = isinstance(schema.root(root, enums=True), Union)
         self._kinds: dict[Type, _Kind] = {}
+        self._packed: dict[tuple[int, ...], bytes] = {}
+        self._unpacked: dict[bytes, tuple[int, ...]] = {}
         self._root = self._kind(self.type)
 
     def __reduce__(self):
@@ -226,18 +236,18 @@ class Codec:
     def encode(self, state) -> bytes:
         out = _Writer()
         self._write(self._root.put, state, out)
-        return out.done()
+        return out.done(self._packed)
 
     def decode(self, data: bytes):
-        return self._root.get(_Reader(data))
+        return self._root.get(_Reader(data, self._unpacked))
 
     def encode_diff(self, old, new) -> bytes:
         out = _Writer()
         self._write(self._root.put_value if self.is_union else self._root.put_field, old, new, out)
-        return out.done()
+        return out.done(self._packed)
 
     def decode_diff(self, old, data: bytes):
-        read = _Reader(data)
+        read = _Reader(data, self._unpacked)
         return self._root.get_value(old, read) if self.is_union else self._root.get_field(old, read)
 
     def equals(self, a, b) -> bool:
