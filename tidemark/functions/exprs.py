@@ -5,7 +5,7 @@ All of them stay inside Catalyst; nothing here calls Python for a row.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,13 @@ from tidemark.functions.schema import Array, Boolean, Enum, Float, Int, Map, Obj
 from tidemark.functions.schema import default as default_value
 from tidemark.functions.wire import EPSILON, RUN_CODES
 
+
+
+def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """`fn` of a value that is computed once for a row, however often `fn` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 # ---- numbers
 
 

@@ -15,7 +15,7 @@ from tidemark.operators import history as H
 from tidemark.operators import mutators as M
 from tidemark.operators import spatial as S
 from tidemark.plans.inputs import AB_SQL, ARRAYS_SQL, EVENT_TYPES, LOG_SQL, MAPS_SQL, ORDER_SCHEMA, PLAYER_SCHEMA, PRIORITY, TICKS_SQL, event_log, orders_a, orders_b, scratch, table, ticks, user_arrays, user_maps
-from tidemark.sources.codec import StateColumns
+from tidemark.sources.codec import StateColumns, spread
 from tidemark.sources.files import parse_json, render_json
 from tidemark.streaming import clients
 
@@ -536,14 +536,14 @@ def order_states(orders: DataFrame, name: str) -> DataFrame:
 @query(f"WITH {AB_SQL} SELECT o_orderkey, o_custkey AS custkey, o_orderstatus AS status, round(CAST(floor(o_totalprice / 0.01::DOUBLE + 0.5::DOUBLE) AS BIGINT) * 0.01::DOUBLE, 4) AS price, o_orderpriority AS priority FROM a")
 def codec_roundtrip_orders(spark, d):
     c = StateColumns(ORDER_SCHEMA, "Order")
-    out = order_states(orders_a(spark, d), "s").select("o_orderkey", c.encode(F.col("s")).alias("bytes")).select("o_orderkey", c.decode(F.col("bytes")).alias("s"))
+    out = order_states(spread(orders_a(spark, d)), "s").select("o_orderkey", c.encode(F.col("s")).alias("bytes")).select("o_orderkey", c.decode(F.col("bytes")).alias("s"))
     return out.select("o_orderkey", "s.custkey", "s.status", F.round("s.price", 4).alias("price"), "s.priority")
 
 
 @query(f"WITH {AB_SQL}, q AS (SELECT *, CAST(floor(price_a / 0.01::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS qa, CAST(floor(price_b / 0.01::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS qb FROM j WHERE ina AND inb) SELECT o_orderkey, status_b AS status, round(CASE WHEN qa = qb THEN price_a ELSE qb * 0.01::DOUBLE END, 4) AS price, priority_b AS priority FROM q")
 def codec_diff_roundtrip(spark, d):
     c = StateColumns(ORDER_SCHEMA, "Order")
-    both = order_states(orders_a(spark, d), "a").join(order_states(orders_b(spark, d), "b"), "o_orderkey")
+    both = order_states(spread(orders_a(spark, d)), "a").join(order_states(orders_b(spark, d), "b"), "o_orderkey")
     out = both.select("o_orderkey", "a", c.encode_diff(F.col("a"), F.col("b")).alias("change")).select("o_orderkey", c.decode_diff(F.col("a"), F.col("change")).alias("s"))
     return out.select("o_orderkey", "s.status", F.round("s.price", 4).alias("price"), "s.priority")
 
@@ -552,7 +552,7 @@ def codec_diff_roundtrip(spark, d):
 def codec_sizes(spark, d):
     """Bytes of full states and of differences; a difference is never much larger than the state."""
     c = StateColumns(ORDER_SCHEMA, "Order")
-    both = order_states(orders_a(spark, d), "a").join(order_states(orders_b(spark, d), "b"), "o_orderkey")
+    both = order_states(spread(orders_a(spark, d)), "a").join(order_states(orders_b(spark, d), "b"), "o_orderkey")
     return both.select("o_orderkey", F.length(c.encode(F.col("b"))).alias("full_bytes"), F.length(c.encode_diff(F.col("a"), F.col("b"))).alias("diff_bytes"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -14,6 +14,14 @@ from tidemark.functions.schema import Array, Map, Object, Optional, Ref, Schema,
 from tidemark.functions.wire import EPSILON, Codec, WireError
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan's rows dealt to all cores, where its files make fewer tasks than there are: the codec costs more than a shuffle of
+    a few files.  A large input has more splits than cores and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def to_state(schema: Schema, t: Type, v):
     """An Arrow value (maps as pair lists) as a state."""
     t = schema.resolve(t)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.exprs import validate
+from tidemark.functions.exprs import bind, validate
 from tidemark.functions.schema import Array, Map, Object, Optional, Ref, Schema, Type, Union, references
 from tidemark.sources.codec import StateColumns
 
@@ -35,7 +35,8 @@ def loose_type(schema: Schema, t: Type, depth: int = 3, _within: tuple[str, ...]
 
 def parse_json(schema: Schema, root: str, text: Column, strict: bool = True, depth: int = 3) -> Column:
     """A JSON text column as a column of the root type: coerced, checked, unknown fields ignored."""
-    return validate(schema, Ref(root), F.from_json(text, loose_type(schema, Ref(root), depth)), strict=strict, depth=depth)
+    loose = F.from_json(text, loose_type(schema, Ref(root), depth))
+    return bind(loose, lambda v: validate(schema, Ref(root), v, strict=strict, depth=depth))
 
 
 def _has_union(schema: Schema, t: Type, seen: frozenset = frozenset()) -> bool:
