@@ -78,9 +78,14 @@ class Features:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.known: dict[str, tuple | None] = {}
+        self.marked = INSULTS | SECOND_PERSON | {w for w in lexicon if w[-1] != "~"}
+        self.beginnings = [(k, {w[:-1] for w in lexicon if w[-1] == "~" and len(w) == k + 1}) for k in PREFIXES]
 
     def token(self, token: str) -> tuple | None:
         """(insult, person, obfuscated, word weights, prefix weights), or None for the many tokens without any."""
+        word = token.rstrip(".,;:!?")
+        if word.isalpha() and word not in self.marked and not any([word[:k] in held for k, held in self.beginnings if len(word) > k]) and _REPEAT.search(token) is None:
+            return None  # what most tokens come to
         found = forms(token)
         insult, person = any(w in INSULTS for w in found), any(w in SECOND_PERSON for w in found)
         odd = (len(found) > 1) + (_REPEAT.search(token) is not None)
