@@ -103,3 +103,18 @@ def repeats(rows, window=50):
                 gone.update(range(i, i + window))
         out.append((d, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
     return sorted(out)
+
+
+def shares(sizes):
+    total, most = 1.5 * sum(sizes), [2 * x for x in sizes]
+    weight = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
+    capped = [False] * len(sizes)
+    while True:
+        rest = total - sum(m for m, c in zip(most, capped, strict=True) if c)
+        free = sum(w for w, c in zip(weight, capped, strict=True) if not c)
+        want = [m if c else rest * w / free for m, w, c in zip(most, weight, capped, strict=True)]
+        above = [i for i, (x, m) in enumerate(zip(want, most, strict=True)) if not capped[i] and x > m + 1e-9]
+        if not above:
+            return want
+        for i in above:
+            capped[i] = True

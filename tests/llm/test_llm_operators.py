@@ -446,21 +446,6 @@ def test_automaton_extends():
 # ---- 10 mixing
 
 
-def shares(sizes):
-    total, most = 1.5 * sum(sizes), [2 * x for x in sizes]
-    weight = [(5, 2, 1)[i % 3] for i in range(len(sizes))]
-    capped = [False] * len(sizes)
-    while True:
-        rest = total - sum(m for m, c in zip(most, capped, strict=True) if c)
-        free = sum(w for w, c in zip(weight, capped, strict=True) if not c)
-        want = [m if c else rest * w / free for m, w, c in zip(most, weight, capped, strict=True)]
-        above = [i for i, (x, m) in enumerate(zip(want, most, strict=True)) if not capped[i] and x > m + 1e-9]
-        if not above:
-            return want
-        for i in above:
-            capped[i] = True
-
-
 def test_mixing(spark, tmp_path):
     rows = brute.corpus(12, 200)
     got = mixing.op10_mix(spark, table_of(spark, tmp_path, rows)).collect()
@@ -469,7 +454,7 @@ def test_mixing(spark, tmp_path):
     for d, t, _, s in rows:
         sizes[s] += len(brute.white_words(t))
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, shares([sizes[s] for s in order]), strict=True))
+    want = dict(zip(order, brute.shares([sizes[s] for s in order]), strict=True))
     taken = Counter()
     for r in got:
         s = source[r.doc_id]

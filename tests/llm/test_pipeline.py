@@ -5,7 +5,6 @@ from collections import Counter
 import brute
 import corpus_pipeline
 import pytest
-from test_operators import shares
 
 from tidemark.llm import toxicity
 from tidemark.llm.common import stored
@@ -64,7 +63,7 @@ def test_stages(spark, corpus_dir):
             for _, t, _, s in after:
                 got[s] += len(brute.white_words(t))
             order = sorted(sizes, key=lambda s: (s is None, s or ""))
-            for s, want in zip(order, shares([sizes[s] for s in order]), strict=True):
+            for s, want in zip(order, brute.shares([sizes[s] for s in order]), strict=True):
                 assert got[s] == int(want + 1e-9)
             assert max(Counter(i for i, *_ in after).values()) <= 2
         else:
