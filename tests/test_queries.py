@@ -25,3 +25,9 @@ def test_scans_are_pruned(spark, sf_dir):
     plan = catalog.QUERIES["cascade_delete"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(c_mktsegment), EqualTo(c_mktsegment,BUILDING)" in plan
     assert "o_totalprice" not in plan
+
+
+def test_mutators_over_whole_arrays(spark, sf_dir):
+    sizes = catalog.table(spark, sf_dir, "events").groupBy("user_id").count().collect()
+    out = catalog.QUERIES["array_mutators_whole"](spark, sf_dir).where("edit = 'push'").collect()
+    assert {r.user_id: r.size for r in out} == {r.user_id: r["count"] + 1 for r in sizes}

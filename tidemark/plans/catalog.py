@@ -151,19 +151,31 @@ def array_patch(spark, d):
 
 
 MUTATORS_SQL = "l AS (SELECT user_id, list(value ORDER BY ts, event_id)[1:12] AS v FROM events GROUP BY 1)"
+WHOLE_MUTATORS_SQL = "l AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1)"
 
 
-@query(f"WITH {MUTATORS_SQL}, m AS (SELECT user_id, 'push' AS edit, v || [9.5::DOUBLE] AS w, v FROM l UNION ALL SELECT user_id, 'pop', v[1:len(v) - 1], v FROM l UNION ALL SELECT user_id, 'shift', v[2:], v FROM l UNION ALL SELECT user_id, 'unshift', [9.5::DOUBLE] || v, v FROM l UNION ALL SELECT user_id, 'splice', v[1:2] || [9.5::DOUBLE] || v[5:], v FROM l UNION ALL SELECT user_id, 'length', v[1:4], v FROM l UNION ALL SELECT user_id, 'reverse', list_reverse(v), v FROM l UNION ALL SELECT user_id, 'sort', list_sort(v), v FROM l UNION ALL SELECT user_id, 'fill', v[1:1] || list_transform(v[2:3], lambda x: 0::DOUBLE) || v[4:], v FROM l UNION ALL SELECT user_id, 'copy', (v[4:6] || v[4:])[1:len(v)], v FROM l) SELECT user_id, edit, CAST(len(w) AS INT) AS size, w[1] AS first, w[-1] AS last, CAST(len(list_filter(range(1, len(w) + 1), lambda i: v[i] IS DISTINCT FROM w[i])) AS INT) AS touched FROM m")
-def array_mutators(spark, d):
-    """Each edit of a list of values, with the number of positions it touches."""
-    a, _ = user_arrays(spark, d)
+def array_edits(a: DataFrame) -> DataFrame:
+    """(user_id, v) -> a row for each edit: size, first and last item of its result, and the number of positions it touches."""
     v = F.col("v")
-    a = a.select("user_id", F.slice("v", 1, 12).alias("v"))
     edits = {"push": M.push(v, F.lit(9.5)), "pop": M.pop(v), "shift": M.shift(v), "unshift": M.unshift(v, F.lit(9.5)), "splice": M.splice(v, F.lit(2), F.lit(2), F.lit(9.5)), "length": M.set_length(v, F.lit(4)), "reverse": M.reverse(v), "sort": M.sort(v), "fill": M.fill(v, F.lit(0.0), F.lit(1), F.lit(3)), "copy": M.copy_within(v, F.lit(0), F.lit(3), F.lit(6))}
     rows = a.select("user_id", "v", F.explode(F.array(*[F.struct(F.lit(k).alias("edit"), w.alias("w")) for k, w in edits.items()])).alias("e")).select("user_id", "v", "e.edit", "e.w")
     return rows.select("user_id", "edit", F.size("w").alias("size"), F.try_element_at("w", F.lit(1)).alias("first"), F.try_element_at("w", F.lit(-1)).alias("last"), F.size(M.touched(F.col("v"), F.col("w"))).alias("touched"))
 
 
+@query(f"WITH {MUTATORS_SQL}, m AS (SELECT user_id, 'push' AS edit, v || [9.5::DOUBLE] AS w, v FROM l UNION ALL SELECT user_id, 'pop', v[1:len(v) - 1], v FROM l UNION ALL SELECT user_id, 'shift', v[2:], v FROM l UNION ALL SELECT user_id, 'unshift', [9.5::DOUBLE] || v, v FROM l UNION ALL SELECT user_id, 'splice', v[1:2] || [9.5::DOUBLE] || v[5:], v FROM l UNION ALL SELECT user_id, 'length', v[1:4], v FROM l UNION ALL SELECT user_id, 'reverse', list_reverse(v), v FROM l UNION ALL SELECT user_id, 'sort', list_sort(v), v FROM l UNION ALL SELECT user_id, 'fill', v[1:1] || list_transform(v[2:3], lambda x: 0::DOUBLE) || v[4:], v FROM l UNION ALL SELECT user_id, 'copy', (v[4:6] || v[4:])[1:len(v)], v FROM l) SELECT user_id, edit, CAST(len(w) AS INT) AS size, w[1] AS first, w[-1] AS last, CAST(len(list_filter(range(1, len(w) + 1), lambda i: v[i] IS DISTINCT FROM w[i])) AS INT) AS touched FROM m")
+def array_mutators(spark, d):
+    """Each edit of a user's first twelve values, with the number of positions it touches."""
+    a, _ = user_arrays(spark, d)
+    return array_edits(a.select("user_id", F.slice("v", 1, 12).alias("v")))
+
+
+@query(ORACLES["array_mutators"].replace(MUTATORS_SQL, WHOLE_MUTATORS_SQL))
+def array_mutators_whole(spark, d):
+    """Each edit of all of a user's values, with the number of positions it touches."""
+    a, _ = user_arrays(spark, d)
+    return array_edits(a)
+
+
 @query(f"WITH {MAPS_SQL}, j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.event_type, b.event_type) AS event_type, a.n AS x, b.n AS y FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type) SELECT user_id, event_type, CASE WHEN x IS NULL THEN 'add' WHEN y IS NULL THEN 'del' ELSE 'upd' END AS op, y AS new_value FROM j WHERE x IS DISTINCT FROM y")
 def map_column_diff(spark, d):
     m = user_maps(spark, d)
