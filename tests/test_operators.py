@@ -176,3 +176,23 @@ def test_dedupe_stream(spark, tmp_path):
     stream = spark.readStream.schema("t timestamp, k int").parquet(str(tmp_path / "i"))
     out = clients.run_to_table(clients.dedupe_stream(stream, "t", ["k"], "1 minute"), str(tmp_path / "o"), str(tmp_path / "c"))
     assert sorted(r.k for r in out.collect()) == [1, 2]
+
+
+def test_stream_that_has_not_ended(spark, tmp_path):
+    spark.range(5).write.parquet(str(tmp_path / "i"))
+    stream = spark.readStream.schema("id long").parquet(str(tmp_path / "i"))
+    with pytest.raises(TimeoutError):
+        clients.run_to_table(stream, str(tmp_path / "o"), str(tmp_path / "c"), timeout=0.001)
+    assert clients.run_to_table(stream, str(tmp_path / "p"), str(tmp_path / "d")).count() == 5
+
+
+@pytest.mark.parametrize("name", ["stream_client_fold", "stream_bandwidth_tumbling"])
+def test_streams_run_without_a_limit(spark, sf_dir, monkeypatch, name):
+    from pyspark.sql.streaming import StreamingQuery
+
+    from tidemark.plans import catalog
+
+    limits, wait = [], StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: limits.append(timeout) or wait(self, timeout))
+    catalog.QUERIES[name](spark, sf_dir)
+    assert limits == [None]

@@ -621,8 +621,6 @@ def stream_bandwidth_tumbling(spark, d):
     windows = clients.tumbling(stream, "ts", "1 day", "1 hour", F.col("value"), ("event_type",))
     out = scratch(spark, "windows")
     query_ = windows.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", scratch(spark, "window-checkpoint")).outputMode("complete").trigger(availableNow=True).start()
-    query_.awaitTermination(600)
-    if query_.exception() is not None:
-        raise query_.exception()
+    clients.finish(query_)
     result = spark.read.schema(windows.schema).parquet(out)
     return result.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "messages", F.round("total", 4).alias("total"))

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tidemark.functions.schema import Schema
 from tidemark.functions.wire import Codec, WireError
@@ -81,13 +81,22 @@ def dedupe_stream(stream: DataFrame, ts: str, keys: list[str], late: str) -> Dat
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", timeout: int = 600) -> DataFrame:
-    """Run what is there now to the end into Parquet, exactly once, and read the result."""
-    query = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+def finish(query: StreamingQuery, timeout: float | None = None) -> None:
+    """Wait until an availableNow query has ended by itself, however long it takes.
+
+    With a timeout (seconds), a query that is still running then is stopped and TimeoutError raised: what it wrote isn't whole.
+    """
     try:
-        query.awaitTermination(timeout)
+        ended = query.awaitTermination() if timeout is None else query.awaitTermination(timeout)
         if query.exception() is not None:
             raise query.exception()
+        if ended is False:
+            raise TimeoutError(f"the stream had not ended after {timeout} s")
     finally:
         query.stop()
+
+
+def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", timeout: float | None = None) -> DataFrame:
+    """Run what is there now to the end into Parquet, exactly once, and read the result; see `finish` for the timeout."""
+    finish(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start(), timeout)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
