@@ -230,6 +230,14 @@ def array_equals(spark, d):
     return both.select("user_id", rest("v").alias("v"), rest("w").alias("w")).select("user_id", X.equals(Schema({}), Array(Float()), F.col("v"), F.col("w")).alias("equal"))
 
 
+@query(f"WITH {ARRAYS_SQL}, j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(abs(a.value - b.value) < 0.001, false) AS same FROM a FULL JOIN b ON a.user_id = b.user_id AND a.pos = b.pos) SELECT user_id, bool_and(same) AS equal FROM j GROUP BY 1 UNION ALL SELECT DISTINCT -1 - user_id, true FROM a")
+def array_equals_whole(spark, d):
+    """Whole arrays against their variant and, under -1 - user_id, against themselves."""
+    a, b = user_arrays(spark, d)
+    both = a.join(b.withColumnRenamed("v", "w"), "user_id").unionByName(a.select((-1 - F.col("user_id")).alias("user_id"), "v", F.col("v").alias("w")))
+    return both.select("user_id", X.equals(Schema({}), Array(Float()), F.col("v"), F.col("w")).alias("equal"))
+
+
 @query(f"WITH {MAPS_SQL} SELECT user_id, NOT EXISTS (SELECT 1 FROM a FULL JOIN b ON a.user_id = b.user_id AND a.event_type = b.event_type WHERE coalesce(a.user_id, b.user_id) = u.user_id AND a.n IS DISTINCT FROM b.n) AS equal FROM u")
 def map_equals(spark, d):
     return user_maps(spark, d).select("user_id", X.equals(Schema({}), Map(String(), Int()), F.col("a"), F.col("b")).alias("equal"))
@@ -441,6 +449,14 @@ def baseline_full_or_diff(spark, d):
     return H.choose_baseline(clients_, t.where("user_id = 0 and tick > 10"), "acked", "tick")
 
 
+@query(f"WITH {TICKS_SQL}, h AS (SELECT DISTINCT tick FROM t), c AS (SELECT user_id AS client, max(tick) // 2 AS acked FROM t GROUP BY 1) SELECT client, acked, CASE WHEN h.tick IS NULL THEN 'full' ELSE 'diff' END AS message, h.tick AS baseline FROM c LEFT JOIN h ON h.tick = acked")
+def baseline_all_users(spark, d):
+    """The same choice with the ticks of all users as history."""
+    t = ticks(spark, d)
+    clients_ = t.groupBy(F.col("user_id").alias("client")).agg(F.floor(F.max("tick") / 2).alias("acked"))
+    return H.choose_baseline(clients_, t, "acked", "tick")
+
+
 @query(f"WITH {TICKS_SQL}, x AS (SELECT user_id, tick, lag(tick) OVER (PARTITION BY user_id ORDER BY tick) AS baseline FROM t) SELECT user_id, tick, baseline, CASE WHEN baseline IS NULL THEN 'full' ELSE 'diff' END AS message FROM x")
 def last_message_baseline(spark, d):
     return H.message_plan(ticks(spark, d).select("user_id", "tick"), ["user_id"], "tick")
@@ -474,6 +490,14 @@ def interpolate_asof(spark, d):
     return H.interpolate(t, wanted, ["user_id"], "t", "value", "at").select("user_id", "at", F.round("value", 6).alias("value"))
 
 
+@query(f"WITH {TICKS_SQL}, s AS (SELECT user_id, epoch_us(ts) AS at, value FROM t), w AS (SELECT user_id, s.at + 1800000000 AS at FROM s), x AS (SELECT w.user_id, w.at, s.at AS f, s.value AS v FROM w ASOF JOIN s ON s.user_id = w.user_id AND s.at <= w.at) SELECT x.user_id, x.at, round(CASE WHEN s.at IS NULL THEN v ELSE v + (s.value - v) * ((x.at - f)::DOUBLE / (s.at - f)) END, 6) AS value FROM x ASOF LEFT JOIN s ON s.user_id = x.user_id AND s.at > x.at")
+def interpolate_asof_all(spark, d):
+    """Values half an hour after every tick."""
+    t = ticks(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    wanted = t.select("user_id", (F.col("t") + 1_800_000_000).alias("at"))
+    return H.interpolate(t, wanted, ["user_id"], "t", "value", "at").select("user_id", "at", F.round("value", 6).alias("value"))
+
+
 @query(f"WITH {TICKS_SQL}, r AS (SELECT user_id, tick, tick - lag(tick) OVER (PARTITION BY user_id ORDER BY tick) - 1 AS g FROM t WHERE event_id % 7 <> 0), x AS (SELECT user_id, tick, coalesce(g, 0) AS gap, sum(coalesce(g, 0)) OVER w AS lost, count(*) OVER w AS received FROM r WINDOW w AS (PARTITION BY user_id ORDER BY tick ROWS 99 PRECEDING)) SELECT user_id, tick, gap, CAST(lost AS BIGINT) AS lost, received, round(100.0 * lost / (received + lost), 6)::DOUBLE AS loss_pct FROM x")
 def loss_window_100(spark, d):
     t = ticks(spark, d).where("event_id % 7 <> 0").select("user_id", "tick")
