@@ -196,3 +196,22 @@ def test_streams_run_without_a_limit(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: limits.append(timeout) or wait(self, timeout))
     catalog.QUERIES[name](spark, sf_dir)
     assert limits == [None]
+
+
+def test_client_fold_of_a_table(spark):
+    s = parse_schema("P: {x: int, name: string}")
+    c = Codec(s, "P")
+    states = {t: {"x": t * t, "name": f"n{t % 3}"} for t in range(1, 8)}
+    change = {(a, b): c.encode_diff(states[a], states[b]) for a in states for b in states}
+    rows = [(1, 1, 0, c.encode(states[1])), (1, 2, 1, change[1, 2]), (1, 4, 3, change[3, 4]), (1, 5, 2, change[2, 5]), (1, 5, 2, change[2, 5]), (1, 7, 1, change[1, 7]), (2, 3, 9, b"\0"), (2, 4, 0, b"\xff")]
+    out = clients.fold_table(spark.createDataFrame(rows, "client long, tick long, baseline long, payload binary"), s, "P", keep=3).collect()
+    assert sorted((r.client, r.tick, r.outcome) for r in out) == [(1, 1, "applied"), (1, 2, "applied"), (1, 4, "dropped"), (1, 5, "applied"), (1, 5, "stale"), (1, 7, "dropped"), (2, 3, "dropped"), (2, 4, "dropped")]
+    assert c.decode(bytes(next(r.state for r in out if r.tick == 5 and r.outcome == "applied"))) == states[5]
+
+
+def test_batch_client_fold_reads_payloads(spark, sf_dir, monkeypatch):
+    from tidemark.plans import catalog
+
+    messages = catalog.client_messages
+    monkeypatch.setattr(catalog, "client_messages", lambda *a: messages(*a).withColumn("payload", F.when(F.col("baseline") == 0, F.unhex(F.lit("FF"))).otherwise(F.col("payload"))))
+    assert {r.applied for r in catalog.QUERIES["batch_client_fold"](spark, sf_dir).collect()} == {0}

@@ -629,10 +629,11 @@ def stream_client_fold(spark, d):
 
 @query(f"WITH {TICKS_SQL}, x AS (SELECT *, sum((event_id % {LOST} = 0)::INT) OVER (PARTITION BY user_id, (tick - 1) // {FULL_EVERY} ORDER BY tick ROWS UNBOUNDED PRECEDING) AS gone FROM t) SELECT user_id AS client, count(*) FILTER (gone = 0 AND event_id % {LOST} <> 0) AS applied FROM x GROUP BY 1")
 def batch_client_fold(spark, d):
-    """The same fold over a table: a message applies if nothing was lost since the last full state."""
-    t = ticks(spark, d).withColumn("lost", (F.col("event_id") % LOST == 0).cast("long"))
-    since_full = Window.partitionBy("user_id", F.floor((F.col("tick") - 1) / FULL_EVERY)).orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("gone", F.sum("lost").over(since_full)).groupBy(F.col("user_id").alias("client")).agg(F.sum((F.col("gone") == 0).cast("long")).alias("applied"))
+    """The same fold over a table: each client's messages decoded and folded in order of tick."""
+    folded = clients.fold_table(client_messages(spark, d), PLAYER_SCHEMA, "Player")
+    applied = folded.groupBy("client").agg(F.count_if(F.col("outcome") == "applied").alias("applied"))
+    everyone = table(spark, d, "events").select(F.col("user_id").alias("client")).distinct()
+    return everyone.join(applied, "client", "left").select("client", F.coalesce("applied", F.lit(0).cast("long")).alias("applied"))
 
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS messages, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

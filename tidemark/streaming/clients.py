@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,6 +71,41 @@ def fold_clients(messages: DataFrame, schema: Schema, root: str, keep: int = 150
     return messages.groupBy("client").transformWithStateInPandas(ClientFold(schema, root, keep), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
 
 
+def fold_table(messages: DataFrame, schema: Schema, root: str, keep: int = 150) -> DataFrame:
+    """The fold over a table of (client, tick, baseline, payload), by the rules of ClientFold, each client's messages in order of tick.
+
+    Older states go after each message (a stream drops them after each of its batches).  A client's rows pass through one
+    task, but only the states that it holds are kept.
+    """
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, client, last, held = Codec(schema, root), None, 0, {}
+        for batch in batches:
+            out = []
+            for own, tick, baseline, payload in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if own != client:
+                    client, last, held = own, 0, {}
+                outcome, encoded = "stale" if tick <= last else "dropped", None
+                if tick > last:
+                    try:
+                        if baseline == 0:
+                            encoded = codec.encode(codec.decode(payload))
+                        elif baseline in held:
+                            encoded = codec.encode(codec.decode_diff(codec.decode(held[baseline]), payload))
+                    except WireError:
+                        pass
+                if encoded is not None:
+                    outcome, last, held[tick] = "applied", tick, encoded
+                    while (oldest := next(iter(held))) < last - keep:
+                        del held[oldest]
+                out.append((own, tick, outcome, encoded))
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 4, kinds, strict=True)], names=OUTPUT.names)
+
+    rows = messages.select(F.col("client").cast("long"), F.col("tick").cast("long"), F.col("baseline").cast("long"), "payload")
+    return rows.repartition("client").sortWithinPartitions("client", "tick", "baseline", "payload").mapInArrow(over, OUTPUT)
+
+
 def tumbling(stream: DataFrame, ts: str, width: str, late: str, value: Column, by: tuple[str, ...] = ()) -> DataFrame:
     """Messages and sum of each tumbling event-time window, with a watermark for late rows."""
     out = stream.withWatermark(ts, late).groupBy(*by, F.window(ts, width).alias("w"))
