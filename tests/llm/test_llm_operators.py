@@ -485,3 +485,18 @@ def test_apply_mix(spark):
     per = mixing.mix(docs).agg(F.sum("taken")).first()[0]
     assert sum(words.values()) == per
     assert mixing.apply_mix(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_neardup_repeated_id_with_sets_of_one_size(spark):
+    one, two = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(0, " ".join(one)), (0, " ".join(two)), (1, " ".join([*one, "x"])), (2, " ".join([*two, "y"]))]
+    out = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id, r.component) for r in out) == [(0, 0), (0, 0), (1, 0), (2, 0)]
+
+
+def test_neardup_open_links_see_every_text_of_an_id(spark):
+    import pyarrow as pa
+
+    one, two = (np.arange(a, a + 50, dtype=np.uint64).tobytes() for a in (0, 100))
+    group = pa.table({"rep": [0, 0, 1, 2], "partners": [[1, 2], [1, 2], [], []], "shingles": [one, two, one, two]})
+    assert sorted(zip(*neardup._open_links(group).to_pydict().values(), strict=True)) == [(1, 0), (2, 0)]

@@ -233,8 +233,11 @@ def _open_pairs(key: tuple, group: pa.Table) -> pa.Table:
 
 def _open_links(group: pa.Table) -> pa.Table:
     """The same blocks with the full sets -> linked pairs."""
-    sets = {r: np.frombuffer(s, dtype=np.uint64) for r, s in zip(group.column("rep").to_pylist(), group.column("shingles").to_pylist(), strict=True)}
-    found = [(max(x, y), min(x, y)) for x, partners in zip(group.column("rep").to_pylist(), group.column("partners").to_pylist(), strict=True) for y in partners if y in sets and linked(sets[x], sets[y])]
+    sets: dict[int, dict[bytes, np.ndarray]] = {}  # an id that repeats has several
+    for r, s in zip(group.column("rep").to_pylist(), group.column("shingles").to_pylist(), strict=True):
+        sets.setdefault(r, {})[s] = np.frombuffer(s, dtype=np.uint64)
+    pairs = {(x, y) for x, partners in zip(group.column("rep").to_pylist(), group.column("partners").to_pylist(), strict=True) for y in partners if y in sets}
+    found = [(max(x, y), min(x, y)) for x, y in pairs if any(linked(one, two) for one in sets[x].values() for two in sets[y].values())]
     return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
 
@@ -269,8 +272,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sketched = stored(docs.mapInArrow(_sketches, _SKETCHED), "neardup-sketches")
     classes = stored(sketched.where("s1 is not null and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "neardup-classes")
-    own = sketched.join(classes, ["s1", "s2"]).where("id = rep").select("rep", "n", "small", "large")
-    reps = stored(own.dropDuplicates(["rep", "n"]), "neardup-reps")
+    own = sketched.join(classes, ["s1", "s2"]).where("id = rep").select("rep", "s1", "s2", "n", "small", "large")
+    reps = stored(own.dropDuplicates(["rep", "s1", "s2"]).drop("s1", "s2"), "neardup-reps")
     bands = stored(reps.select("rep", "small", "large").mapInArrow(_bands, "band long, rep long, place int"), "neardup-bands")
     hubs = bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     members = stored(bands.join(hubs, "band"), "neardup-members")
