@@ -500,3 +500,65 @@ def test_neardup_open_links_see_every_text_of_an_id(spark):
     one, two = (np.arange(a, a + 50, dtype=np.uint64).tobytes() for a in (0, 100))
     group = pa.table({"rep": [0, 0, 1, 2], "partners": [[1, 2], [1, 2], [], []], "shingles": [one, two, one, two]})
     assert sorted(zip(*neardup._open_links(group).to_pydict().values(), strict=True)) == [(1, 0), (2, 0)]
+
+
+def test_neardup_repeated_ids_with_different_texts(spark):
+    """Classes that only a repeated id connects, one of its rows without words, are one component."""
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    rows = [(1, " ".join(a), "", ""), (2, " ".join(b), "", ""), (5, " ".join([*a, "x"]), "", ""), (5, " ".join([*b, "y"]), "", ""), (5, None, "", ""), (6, " ".join(c), "", ""), (6, "", "", ""), (7, " ".join([*c, "z"]), "", ""), (8, None, "", ""), (8, "a", "", ""), (9, "a", "", "")]
+    out = neardup.near_duplicates(brute.frame(spark, rows)).collect()
+    assert {r.id: r.component for r in out} == brute.near_components(rows) == {1: 1, 2: 1, 5: 1, 6: 6, 7: 6, 8: 8, 9: 8}
+    assert sorted((r.id, r.n_shingles) for r in out) == sorted((d, len(brute.shingles(t))) for d, t, *_ in rows)
+
+
+def test_neardup_repeated_ids_at_random(spark):
+    rows = [(d % 40 if d is not None else None, *x) for d, *x in brute.corpus(21, 120)]
+    out = neardup.near_duplicates(brute.frame(spark, rows)).collect()
+    assert {r.id: r.component for r in out if r.id is not None} == brute.near_components(rows)
+
+
+def test_open_band_ships_rows_in_proportion(spark, monkeypatch):
+    """A band of near copies with one outsider: block rows grow with the band, not with its square."""
+    from tidemark.llm.common import scratch_root
+
+    monkeypatch.setattr(neardup, "BLOCK", 64)
+    shipped = []
+    real = neardup._open_pairs
+    folder = scratch_root(spark).removeprefix("file://")
+
+    def counted(key, group):
+        with open(f"{folder}/shipped-{key[0]}-{key[1]}-{key[2]}", "w") as f:
+            f.write(str(group.num_rows))
+        return real(key, group)
+
+    monkeypatch.setattr(neardup, "_open_pairs", counted)
+    import glob
+    import os
+
+    n = 1500
+    reps = spark.createDataFrame([(i, 200, bytes(256), None) for i in range(n)], "rep long, n long, small binary, large binary")
+    members = spark.createDataFrame([(7, i, 200, 0, 0, n - 1) for i in range(n)], "band long, rep long, n long, place int, lo long, hi long")
+    merged = spark.createDataFrame([(i, 0) for i in range(n) if i != 800], "node long, component long")
+    docs = spark.createDataFrame([], "id long, text string")
+    assert neardup._open_band_links(neardup.stored(members), neardup.stored(merged), neardup.stored(reps), docs).count() == 0
+    for f in glob.glob(f"{folder}/shipped-7-*"):
+        shipped.append(int(open(f).read()))
+        os.remove(f)
+    assert sum(shipped) == n + -(-n // 64) and max(shipped) < 130
+
+
+def test_spread_join(spark):
+    from tidemark.llm.common import spread_join
+
+    many = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3000)] + [(None, -1)], "k long, v long")
+    one = many.groupBy("k").agg(F.count("*").alias("n")).where("k % 2 = 1")
+    counts = many.groupBy("k").agg(F.count("*").alias("n"))
+    for how in ("inner", "left"):
+        got = spread_join(many, one, ["k"], counts, ["v"], how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, many.join(one, "k", how).collect()))
+
+
+def test_components_of_a_large_star(spark):
+    links = [(i, 5) for i in range(6, 3000)] + [(3000 + i, 3001 + i) for i in range(40)] + [(3020, 17)]
+    got = {x.node: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert set(got.values()) == {5} and len(got) == 2995 + 41

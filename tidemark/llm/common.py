@@ -7,6 +7,7 @@ import shutil
 import string
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,13 +32,15 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from spark.checkpoint.dir; one of our own only where that is unset."""
+    """The shared folder of the cluster, from spark.checkpoint.dir; where that is unset, one of our own if the master is local, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="tidemark-checkpoint-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -62,6 +65,24 @@ def drop_stored(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of one key that stay together where a join spreads its hot keys, and the number of keys that it spreads (16 bytes each are broadcast).
+SPREAD_ROWS, HOT_KEYS = 256, 10_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: Sequence[str], counts: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """`many` joined to `one` on `key`, a hot key's rows in several tasks.
+
+    `counts` has `key` and n, the rows of `many` with that key.  The HOT_KEYS keys with the most rows, if more than
+    SPREAD_ROWS, are salted: `many` by a hash of the columns `by`, so that a task that is run again deals alike, and
+    `one` repeated once a salt.  Any other key has fewer rows than those, at most a HOT_KEYS-th of all.
+    """
+    hot = counts.where(F.col("n") > SPREAD_ROWS).orderBy(F.col("n").desc(), *key).limit(HOT_KEYS)
+    hot = F.broadcast(hot.select(*key, F.ceil(F.col("n") / SPREAD_ROWS).cast("int").alias("j_parts")))
+    left = many.join(hot, list(key), "left").withColumn("j_salt", F.pmod(F.xxhash64(*by), F.coalesce("j_parts", F.lit(1))).cast("int")).drop("j_parts")
+    right = one.join(hot, list(key), "left").withColumn("j_salt", F.explode(F.sequence(F.lit(0), F.coalesce("j_parts", F.lit(1)) - 1))).drop("j_parts")
+    return left.join(right, [*key, "j_salt"], how).drop("j_salt")
+
+
 #: Bytes of an Arrow batch; a longer row is a batch of its own.
 BATCH_BYTES = 4 << 20
 

@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop_stored, stored
+from tidemark.llm.common import drop_stored, spread_join, stored
 
 
 def _stars(links: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over (a, b), a > b."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("m"))
-    large = both.join(least, F.col("a") == F.col("c")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    down = large.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m"))
-    joined = large.join(down, F.col("a") == F.col("c"))
-    small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return small.unionByName(down.select(F.col("c").alias("a"), F.col("m").alias("b"))).distinct()
+    """One large-star and one small-star step over (a, b), a > b; a node with many links is dealt to many tasks."""
+    both = links.select(F.col("a").alias("c"), F.col("b").alias("d")).unionByName(links.select(F.col("b").alias("c"), F.col("a").alias("d")))
+    least = both.groupBy("c").agg(F.min("d").alias("m"), F.count(F.lit(1)).alias("n"))
+    met = spread_join(both.where("d > c"), least.select("c", F.least("c", "m").alias("m")), ["c"], least.select("c", "n"), ["d"])
+    large = met.select(F.col("d").alias("a"), F.col("m").alias("b")).distinct()
+    down = large.groupBy("a").agg(F.min("b").alias("m"))
+    small = large.join(down, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return small.unionByName(down.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

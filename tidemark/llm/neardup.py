@@ -9,8 +9,10 @@ accidental register collisions, drops the hopeless, and the full sets decide.
 
 Large groups of copies share bands in whole.  Instead of all pairs, each class is first compared with the smallest and
 the greatest class of its band; the links found merge classes into components.  Only bands that still hold several
-components go on: there, the classes outside the band's largest component are compared with the rest in blocks,
-first by sketch, then by the full sets of those with hope.  No band is cut or dropped, and only links leave a block.
+components go on: there, blocks of the classes outside the band's largest component (the minor ones) meet blocks of all
+its classes, first by sketch, then by the full sets of those with hope.  With N classes, M of them minor, that ships
+N * ceil(M / BLOCK) + M * ceil(N / BLOCK) sketches.  No band is cut or dropped, and only links leave a block.
+Joins on a class, a band or a hub that many rows share are dealt to several tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, drop_stored, stored, table, text_bytes
+from tidemark.llm.common import bounded_batches, drop_stored, spread_join, stored, table, text_bytes
 from tidemark.llm.components import components
 from tidemark.llm.kernels import WHITESPACE, U, Words, chunks, mix
 
@@ -37,7 +39,7 @@ SMALLEST_LARGE, LARGEST_SMALL = 192, 256
 MARGIN = 0.153
 CHUNK_BYTES = 500_000
 #: Classes of one band that meet in one block.
-BLOCK = 1024
+BLOCK = 4096
 #: And the shingles of a block's classes (8 bytes each), so that long documents make smaller blocks.
 BLOCK_SHINGLES = 1_000_000
 #: Document ids up to this many (8 bytes each) are broadcast to fetch texts; beyond, the join shuffles.
@@ -159,12 +161,14 @@ def _sketches(batches):
 
 
 def _bands(batches):
+    """Rows rep, n, small, large -> a row for each band."""
     for batch in batches:
-        pairs = [band_keys(s, g) for s, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        reps = pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(k) for k, _ in pairs]), pa.int64())
+        pairs = [band_keys(s, g) for s, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        times = [len(k) for k, _ in pairs]
+        reps, sizes = (pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), times), pa.int64()) for i in (0, 1))
         keys = np.concatenate([np.empty(0, dtype=np.uint64), *[k for k, _ in pairs]]).view(np.int64)
         places = np.concatenate([np.empty(0, dtype=np.int64), *[p for _, p in pairs]])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), reps, pa.array(places, pa.int32())], names=["band", "rep", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), reps, sizes, pa.array(places, pa.int32())], names=["band", "rep", "n", "place"])
 
 
 def _sets(batches):
@@ -195,10 +199,10 @@ def _first_shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _open_pairs(key: tuple, group: pa.Table) -> pa.Table:
-    """Two blocks of one open band -> a row for each class with hope, and its partners (the pair stands in one of the two rows).
+    """Block i of an open band's minor classes (side 0) and block j of all its classes (side 1) -> a row for each class with hope, and its partners.
 
-    Pairs of different components, one of them minor, whose estimate leaves hope; each pair in the first band that it
-    shares only, and without the band's hubs, which were compared already.
+    Pairs of different components whose estimate leaves hope, each pair in the first band that it shares only (and of two
+    minor classes in one order), without the band's hubs, which were compared already.
     """
     band, i, j = (k.as_py() for k in key)
     rep, comp, minor, side = (np.array(group.column(k).to_pylist()) for k in ("rep", "comp", "minor", "side"))
@@ -207,13 +211,11 @@ def _open_pairs(key: tuple, group: pa.Table) -> pa.Table:
     kind, number = divmod(place, BANDS)
     regs = np.frombuffer(b"".join(group.column(("small", "large")[kind]).to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
     small = group.column("small").to_pylist() if kind else []
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    inner = (rep != lo) & (rep != hi)
+    left, right = np.flatnonzero(inner & (side == 0)), np.flatnonzero(inner & (side == 1))
     rows: dict[int, list[int]] = {}
     for x in left:
-        ok = (comp[right] != comp[x]) & (minor[right] | minor[x]) & (DENOMINATOR * np.minimum(n[right], n[x]) >= NUMERATOR * np.maximum(n[right], n[x]))
-        ok &= (rep[right] != lo) & (rep[right] != hi) & (rep[x] != lo) & (rep[x] != hi)
-        if side[x] == 2:
-            ok &= rep[right] > rep[x]
+        ok = (comp[right] != comp[x]) & (~minor[right] | (rep[right] > rep[x])) & (DENOMINATOR * np.minimum(n[right], n[x]) >= NUMERATOR * np.maximum(n[right], n[x]))
         at = right[ok]
         if not len(at):
             continue
@@ -248,16 +250,62 @@ def _full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return stored(docs.join(F.broadcast(ids) if small else ids, F.col("id") == F.col("want"), "left_semi").select("id", "text").mapInArrow(_sets, "rep long, shingles binary"), "neardup-sets")
 
 
+def _estimated(star: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b) of members a and hubs b -> those whose estimate leaves hope."""
+    a = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("small").alias("small_a"), F.col("large").alias("large_a"))
+    b = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("small").alias("small_b"), F.col("large").alias("large_b"))
+    met = spread_join(star.join(a, "a"), b, ["b"], star.groupBy("b").agg(F.count(F.lit(1)).alias("n")), ["a"])
+    return met.select("a", "b", "n_a", "small_a", "large_a", "n_b", "small_b", "large_b").mapInArrow(_passing, "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b) candidate pairs -> those that the full sets link."""
+    """(a, b) of members a and hubs b -> those that the full sets link."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long").distinct()
+    met = spread_join(pairs.join(left, "a"), right, ["b"], pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), ["a"])
+    return met.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long").distinct()
 
 
-def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    a = reps.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("small").alias("small_a"), F.col("large").alias("large_a"))
-    b = reps.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("small").alias("small_b"), F.col("large").alias("large_b"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "small_a", "large_a", "n_b", "small_b", "large_b").mapInArrow(_passing, "a long, b long")
+def _hub_links(members: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between the classes of each band and its smallest and greatest one."""
+    up = members.where("rep > lo").select(F.col("rep").alias("a"), F.col("lo").alias("b"))
+    down = members.where("lo < rep and rep < hi").select(F.col("rep").alias("a"), F.col("hi").alias("b"))
+    star = stored(up.unionByName(down).distinct(), "neardup-star")
+    pairs = stored(_estimated(star, reps), "neardup-pairs")
+    sets = _full_sets(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
+    links = stored(_verify(pairs, sets), "neardup-links")
+    drop_stored(star, pairs, sets)
+    return links
+
+
+def _open_band_links(members: DataFrame, merged: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links within bands that still hold several components; of two classes only, one compared the other in full already."""
+    labelled = members.join(merged, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+    labelled = stored(labelled, "neardup-labelled")
+    tallies = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("weight"))
+    bands = tallies.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp", "weight")).alias("top"), F.sum("k").alias("total"), F.sum("weight").alias("weight")).where("comps > 1 and total > 2")
+
+    def blocks(count, weight, name: str):
+        return F.greatest(F.lit(1), F.ceil(count / BLOCK), F.ceil(weight / BLOCK_SHINGLES)).cast("int").alias(name)
+
+    bands = stored(bands.select("band", "total", F.col("top.comp").alias("major"), blocks(F.col("total"), F.col("weight"), "all_blocks"), blocks(F.col("total") - F.col("top.k"), F.col("weight") - F.col("top.weight"), "minor_blocks")), "neardup-open")
+    mine = spread_join(labelled, bands.drop("total"), ["band"], bands.select("band", F.col("total").alias("n")), ["rep"]).withColumn("minor", F.col("comp") != F.col("major")).drop("major")
+    mine = mine.join(reps.select("rep", "n", "small", "large"), ["rep", "n"])
+
+    def every(count: str):
+        return F.sequence(F.lit(0), F.col(count) - 1)
+
+    def own(count: str):
+        return F.pmod(F.xxhash64("rep"), F.col(count)).cast("int")
+
+    as_any = F.transform(every("minor_blocks"), lambda i: F.struct(i.alias("i"), own("all_blocks").alias("j"), F.lit(1).alias("side")))
+    as_minor = F.transform(every("all_blocks"), lambda j: F.struct(own("minor_blocks").alias("i"), j.alias("j"), F.lit(0).alias("side")))
+    met = mine.withColumn("x", F.explode(F.when(F.col("minor"), F.concat(as_any, as_minor)).otherwise(as_any)))
+    met = met.select("band", "x.i", "x.j", "x.side", "rep", "comp", "minor", "place", "lo", "hi", "n", "small", "large")
+    hope = stored(met.groupBy("band", "i", "j").applyInArrow(_open_pairs, "band long, i int, j int, rep long, partners array<long>"), "neardup-hope")
+    sets = _full_sets(docs, hope.select("rep"))
+    links = stored(hope.join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_open_links, "a long, b long").distinct(), "neardup-links")
+    drop_stored(labelled, bands, hope, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,38 +319,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sketched = stored(docs.mapInArrow(_sketches, _SKETCHED), "neardup-sketches")
-    classes = stored(sketched.where("s1 is not null and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep")), "neardup-classes")
-    own = sketched.join(classes, ["s1", "s2"]).where("id = rep").select("rep", "s1", "s2", "n", "small", "large")
-    reps = stored(own.dropDuplicates(["rep", "s1", "s2"]).drop("s1", "s2"), "neardup-reps")
-    bands = stored(reps.select("rep", "small", "large").mapInArrow(_bands, "band long, rep long, place int"), "neardup-bands")
-    hubs = bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
-    members = stored(bands.join(hubs, "band"), "neardup-members")
-    star = members.where("rep > lo").select(F.col("rep").alias("a"), F.col("lo").alias("b")).unionByName(members.where("rep < hi").select(F.col("hi").alias("a"), F.col("rep").alias("b"))).distinct()
-    pairs = stored(_estimated(star, reps), "neardup-pairs")
-    sets = _full_sets(docs, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
-    links = stored(_verify(pairs, sets), "neardup-links")
-    drop_stored(bands, pairs, sets)
-    merged = stored(components(links), "neardup-components")
-
-    # bands that still hold several components; one of two classes was compared in full already
-    labelled = members.join(merged, F.col("rep") == F.col("node"), "left").select("band", "rep", "place", "lo", "hi", F.coalesce("component", "rep").alias("comp"))
-    sized = labelled.join(reps, "rep")
-    tallies = sized.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"))
-    open_ = tallies.groupBy("band").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("total"), F.sum("n").alias("weight")).where("comps > 1 and total > 2")
-    open_ = open_.select("band", F.col("top.comp").alias("major"), F.greatest(F.ceil(F.col("total") / BLOCK), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    mine = sized.join(open_, "band").withColumn("minor", F.col("comp") != F.col("major")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.sequence(F.lit(0), F.col("blocks") - 1)
-    met = mine.withColumn("x", F.explode(F.transform(other, lambda o: F.struct(F.least("block", o).alias("i"), F.greatest("block", o).alias("j"), F.when(F.col("block") == o, 2).when(F.col("block") < o, 0).otherwise(1).alias("side")))))
-    met = met.select("band", "x.i", "x.j", "x.side", "rep", "comp", "minor", "place", "lo", "hi", "n", "small", "large")
-    hope = stored(met.groupBy("band", "i", "j").applyInArrow(_open_pairs, "band long, i int, j int, rep long, partners array<long>"), "neardup-hope")
-    sets = _full_sets(docs, hope.select("rep"))
-    more = hope.join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_open_links, "a long, b long").distinct()
-    merged = stored(components(links.unionByName(more)), "neardup-components")
-    drop_stored(members, hope, sets)
-
-    out = sketched.select("id", "n", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    out = out.join(merged, F.col("rep") == F.col("node"), "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id")).alias("component"))
+    filled = sketched.where("s1 is not null and id is not null")
+    classes = stored(filled.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")), "neardup-classes")
+    own = filled.join(classes.select("s1", "s2", F.col("rep").alias("id")), ["s1", "s2", "id"])
+    reps = stored(own.dropDuplicates(["id", "s1", "s2"]).select(F.col("id").alias("rep"), "n", "small", "large"), "neardup-reps")
+    # an id with several texts links their classes; nothing else can
+    texts = sketched.where("id is not null").groupBy("id").agg(F.count_if(F.col("s1").isNull()).alias("none"), *[f("s1").alias(f"{f.__name__}1") for f in (F.min, F.max)], *[f("s2").alias(f"{f.__name__}2") for f in (F.min, F.max)])
+    several = texts.where("min1 <> max1 or min2 <> max2 or (none > 0 and min1 is not null)").select("id")
+    same = filled.join(several, "id", "left_semi").join(classes, ["s1", "s2"]).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    same = stored(same, "neardup-same")
+
+    bands = stored(reps.mapInArrow(_bands, "band long, rep long, n long, place int"), "neardup-bands")
+    hubs = stored(bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("k")).where("lo < hi"), "neardup-hubs")
+    members = stored(spread_join(bands, hubs.drop("k"), ["band"], hubs.select("band", F.col("k").alias("n")), ["rep"]), "neardup-members")
+    drop_stored(bands, hubs)
+    links = same.unionByName(_hub_links(members, reps, docs))
+    merged = components(links)
+    more = _open_band_links(members, merged, reps, docs)
+    drop_stored(members, reps, merged)
+    merged = components(links.unionByName(more))
+
+    found = classes.join(merged, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
+    rows = sketched.select("id", F.col("n").alias("n_shingles"), "s1", "s2")
+    worded = spread_join(rows.where("s1 is not null and id is not null"), found, ["s1", "s2"], classes.select("s1", "s2", F.col("k").alias("n")), ["id"]).select("id", "n_shingles", "component")
+    bare = rows.where("s1 is null and id is not null").join(merged, F.col("id") == F.col("node"), "left").select("id", "n_shingles", F.coalesce("component", "id").alias("component"))
+    nameless = rows.where("id is null").select("id", "n_shingles", F.lit(None).cast("long").alias("component"))
+    return worded.unionByName(bare).unionByName(nameless)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
