@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -432,9 +433,32 @@ def test_passage_edges(spark):
     found, copies = passages.find_repeats(brute.frame(spark, rows))
     spans = {r.id: [(s.lo, s.hi) for s in r.spans] for r in found.collect()}
     assert spans == {3: [(1, 51)], 4: [(0, 61)], 5: [(0, 60)], 7: [(0, 51)]}
+    again = [*rows[:6], (40, rows[0][1], "en", "a"), (41, rows[0][1], "en", "a"), (42, " ".join(w[:49]), "en", "a"), (43, " ".join(w[:49]), "en", "a")]
+    found, copies = passages.find_repeats(brute.frame(spark, again))
+    hits = {(r.id, r.copied): ([(s.lo, s.hi) for s in r.spans], r.kept) for r in found.collect()}
+    # every removed word comes from a hit, a copy's too; texts below a window have none
+    assert hits[41, True] == ([(0, 60)], "") and not {(1, False), (42, True), (43, True), (42, False)} & set(hits)
     assert passages.find_repeats(brute.frame(spark, rows[:0]))[0].count() == 0
 
 
+def test_every_removal_is_a_hit(spark, tmp_path):
+    """Words that op9 removes are the words that automata located, row by row."""
+    rows = [(d % 90 if d is not None else None, *x) for d, *x in brute.corpus(31, 120)] + [(None, x[1], "en", "a") for x in brute.corpus(31, 8)]
+    docs = brute.frame(spark, rows)
+    found, copies = passages.find_repeats(docs)
+    hits = {(r.key, r.copied): sum(s.hi - s.lo for s in r.spans) for r in found.collect()}
+    first = {r.key: r.first for r in copies.collect()}
+    got = sorted((r.doc_id, r.n_removed) for r in passages.op9_passages(spark, table_of(spark, tmp_path, rows)).collect() if r.doc_id is not None)
+    want = []
+    for d, t, *_ in rows:
+        if d is not None:
+            key = hashlib.md5((t or "").encode()).hexdigest()
+            want.append((d, hits.get((key, d > first[key]), 0) if t is not None else 0))
+    assert got == sorted(want) and sum(n for _, n in got) > 1000
+    brute_rows = [x for x in rows if x[0] is not None]
+    assert got == sorted((d, n) for d, _, n, _ in brute.repeats(brute_rows))
+
+
 def test_automaton_extends():
     a = passages.Automaton([(1, b"p q r s t u v w"), (5, b"r s t u x y")], window=4)
     assert a.repeats(9, b"a q r s t u z r s t".split(), {1, 5}) == [(1, 6)]

@@ -3,11 +3,13 @@
 A window is 50 consecutive words.  Candidates: winnowing picks, in each window, the smallest hash of its 25-word runs, so
 equal windows pick equal hashes; hashes that stand in texts of one kind only are done with.  Confirmation: windows around
 the others are grouped by hash; one that recurs belongs to the smallest document that holds it, and consecutive windows
-of an owner join to a passage.  Location: documents are dealt to shards, each shard gets the passages whose owners its
-documents share windows with, compiles them to an Aho-Corasick automaton over words, in blocks of 25 (each window of a
-passage holds a whole block), and streams its documents through it; each hit is extended word by word against the
-passage, and a run of 50 words or more is a repeat.  Shards are as large as their documents, so a passage on a third of
-all documents is one row for each shard, and no task sees all its occurrences.
+of an owner join to a passage.  A text with copies is a passage as a whole, owned by its first copy.  Location: documents
+are dealt to shards, each shard gets the passages whose owners its documents share windows with, compiles them to an
+Aho-Corasick automaton over words, in blocks of 25 (each window of a passage holds a whole block), and streams its
+documents through it; each hit is extended word by word against the passage, and a run of 50 words or more is a repeat.
+Equal texts are streamed once as their first copy and once as a later one, and the rows of copies take what was located.
+Shards are cut by the bytes of their documents, several of them make a task, and a passage on a third of all documents
+is one row for each shard, so no task sees all its occurrences.
 """
 
 from __future__ import annotations
@@ -22,15 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, drop_stored, stored, table, text_bytes
+from tidemark.llm.common import bounded_batches, drop_stored, spread_join, stored, table, text_bytes
 from tidemark.llm.kernels import Words, chunks, sliding_min
 
 WINDOW = 50
 CHUNK_BYTES = 500_000
-#: Text bytes of the documents of one shard.
-SHARD_BYTES = 4_000_000
-#: Documents with one smallest owner that go to one shard; those of a larger group are dealt to several.
-GROUP = 500
+#: Text bytes of the documents of one shard, about; and shards of a task, about, so that their differences even out.
+SHARD_BYTES, TASK_SHARDS = 1_000_000, 8
 _OUT_ROWS = 200_000
 
 
@@ -144,13 +144,13 @@ class Automaton:
         self.ids: dict[bytes, int] = {}
         self.passages: list[tuple[int, list[int]]] = []
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        places: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        places: dict[tuple[int, ...], dict[int, list[tuple[int, int]]]] = {}
         for owner, text in passages:
             numbers = [self.ids.setdefault(w, len(self.ids) + 1) for w in text.split()]
             k = len(self.passages)
             self.passages.append((owner, numbers))
             for at in range(0, len(numbers) - self.block + 1, self.block):
-                places.setdefault(tuple(numbers[at : at + self.block]), []).append((k, at))
+                places.setdefault(tuple(numbers[at : at + self.block]), {}).setdefault(owner, []).append((k, at))
         for key, where in places.items():
             self.trie.add_word(key, where)
         if places:
@@ -166,18 +166,21 @@ class Automaton:
             return spans
         for last, where in self.trie.iter(text):
             begin = last - self.block + 1
-            for k, at in where:
-                owner, passage = self.passages[k]
-                if owner >= doc_id or owner not in owners or done.get((k, begin - at), -1) > last:
+            for owner in where.keys() & owners:
+                if owner >= doc_id:
                     continue
-                low, high, i, j = begin, last + 1, at, at + self.block
-                while i and low and passage[i - 1] == text[low - 1]:
-                    i, low = i - 1, low - 1
-                while j < len(passage) and high < len(text) and passage[j] == text[high]:
-                    j, high = j + 1, high + 1
-                done[k, begin - at] = high
-                if high - low >= self.window:
-                    spans.append((low, high))
+                for k, at in where[owner]:
+                    if done.get((k, begin - at), -1) > last:
+                        continue
+                    passage = self.passages[k][1]
+                    low, high, i, j = begin, last + 1, at, at + self.block
+                    while i and low and passage[i - 1] == text[low - 1]:
+                        i, low = i - 1, low - 1
+                    while j < len(passage) and high < len(text) and passage[j] == text[high]:
+                        j, high = j + 1, high + 1
+                    done[k, begin - at] = high
+                    if high - low >= self.window:
+                        spans.append((low, high))
         out: list[tuple[int, int]] = []
         for a, b in sorted(spans):
             if out and a <= out[-1][1]:
@@ -187,78 +190,124 @@ class Automaton:
         return out
 
 
-_FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))), T.StructField("kept", T.StringType())])
+_FOUND = T.StructType([T.StructField("id", T.LongType()), T.StructField("key", T.StringType()), T.StructField("copied", T.BooleanType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("lo", T.IntegerType()), T.StructField("hi", T.IntegerType())]))), T.StructField("kept", T.StringType())])
 _SPANS = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 
 
+def _located(automaton: Automaton, id_: int, key: str, copied: bool, text: bytes, owners: set[int]):
+    """One row of _FOUND, or none without a hit."""
+    words = text.split()
+    spans = automaton.repeats(id_, words, owners)
+    if spans:
+        kept, last = [], 0
+        for a, b in spans:
+            kept += words[last:a]
+            last = b
+        kept += words[last:]
+        yield id_, key, copied, [{"lo": a, "hi": b} for a, b in spans], b" ".join(kept)
+
+
 def _locate(window: int):
-    def over(batches):
-        """Rows (shard, is_doc, id, key, text, owners) in the order of shard and is_doc."""
-        shard, passages, automaton = None, [], None
+    def rows(batches):
+        """Rows (shard, is_doc, id, key, text, owners, copy) in the order of shard and is_doc, so that passages come first.
+
+        A passage with a `copy` is a whole text that stands in a document with that id too, and is streamed as that.
+        """
+        shard, passages, copies, automaton = None, [], [], None
+
+        def rest():
+            if copies:
+                made = automaton or Automaton(passages, window)
+                for id_, key, text, owner in copies:
+                    yield from _located(made, id_, key, True, text, {owner})
+
         for batch in batches:
-            found: list[list] = [[], [], [], []]
-            for s, is_doc, id_, key, text, owners in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), text_bytes(batch.column(4)), batch.column(5).to_pylist(), strict=True):
+            for s, is_doc, id_, key, text, owners, copy in zip(*[batch.column(i).to_pylist() for i in range(4)], text_bytes(batch.column(4)), *[batch.column(i).to_pylist() for i in (5, 6)], strict=True):
                 if s != shard:
-                    shard, passages, automaton = s, [], None
+                    yield from rest()
+                    shard, passages, copies, automaton = s, [], [], None
                 if not is_doc:
                     passages.append((id_, text))
+                    if copy is not None:
+                        copies.append((copy, key, text, id_))
                     continue
                 if automaton is None:
                     automaton, passages = Automaton(passages, window), []
-                words = text.split()
-                spans = automaton.repeats(id_, words, set(owners))
-                if spans:
-                    kept, last = [], 0
-                    for a, b in spans:
-                        kept += words[last:a]
-                        last = b
-                    kept += words[last:]
-                    for column, value in zip(found, (id_, key, [{"lo": a, "hi": b} for a, b in spans], b" ".join(kept)), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.string()), pa.array(found[2], _SPANS), pa.array(found[3], pa.binary()).cast(pa.string())], names=_FOUND.names)
+                yield from _located(automaton, id_, key, False, text, set(owners))
+        yield from rest()
+
+    def over(batches):
+        held, size = [], 0
+        for row in rows(batches):
+            held.append(row)
+            size += len(row[4]) + 16 * len(row[3]) + 64
+            if size > CHUNK_BYTES:
+                yield _found(held)
+                held, size = [], 0
+        yield _found(held)
 
     return over
 
 
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    ids, keys, copied, spans, kept = zip(*rows, strict=True) if rows else ([],) * 5
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string()), pa.array(copied, pa.bool_()), pa.array(spans, _SPANS), pa.array(kept, pa.binary()).cast(pa.string())], names=_FOUND.names)
+
+
+def _dealt(routes: DataFrame, bytes_: int) -> DataFrame:
+    """(id, owners, bytes) -> those and shard: documents with one smallest owner go together, unless they hold more than a shard."""
+    bins = max(1, math.ceil(bytes_ / SHARD_BYTES))
+    routes = routes.withColumn("main", F.array_min("owners"))
+    groups = routes.groupBy("main").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.sum("bytes") / SHARD_BYTES).alias("parts"))
+    routes = spread_join(routes, groups.select("main", "parts"), ["main"], groups.select("main", "n"), ["id"])
+    alone = F.xxhash64("main", F.pmod(F.xxhash64("id"), F.col("parts")))
+    return routes.withColumn("shard", F.when(F.col("parts") > 1, alone).otherwise(F.pmod(F.xxhash64("main"), F.lit(bins)))).drop("main", "parts")
+
+
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """Repeated passages of `docs`: (found, copies).
 
-    found: id, key (md5 of the text), spans (word ranges [lo, hi) covered by windows that also start in a document with a
-    smaller id), kept (the other words, joined by one space), for first copies of texts that lose words.  copies: key,
-    first (the smallest id with that text): a later copy loses all its words if it has a whole window.  Null texts have
-    no words; null ids are no smaller document and lose nothing; rows that repeat an id are one document, which doesn't
-    repeat itself; empty input gives empty results.  Other columns of `docs` aren't looked at.
+    found: id, key (md5 of the text), copied, spans (word ranges [lo, hi) covered by windows that also start in a document
+    with a smaller id), kept (the other words, joined by one space), for texts that lose words: as their first copy
+    (copied is false, id is the smallest) and as a later copy (copied is true; what holds for one holds for each).
+    copies: key, first (the smallest id with that text), n (documents with it).  Null texts have no words; null ids are no
+    smaller document and lose nothing; rows that repeat an id are one document, which doesn't repeat itself; empty input
+    gives empty results.  Other columns of `docs` aren't looked at.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id is not null and text is not null")
     keyed = rows.withColumn("key", F.md5("text"))
-    copies = stored(keyed.groupBy("key").agg(F.min("id").alias("first")), "passage-copies")
+    copies = stored(keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).alias("bytes")), "passage-copies")
     runs = picked_runs(rows.withColumn("kind", F.xxhash64("text")), window)
-    recurring = stored(runs.groupBy("h").agg(F.min("kind").alias("a"), F.max("kind").alias("b")).where("a <> b").select("h"), "passage-picks")
-    picked = runs.select("h", "id").join(recurring, "h", "left_semi").groupBy("id").agg(F.collect_set("h").alias("picked"))
-    firsts = copies.select(F.col("first").alias("id"), "key")
-    marked = stored(keyed.join(picked.join(firsts, "id"), ["id", "key"]).select("id", "key", "text", "picked"), "passage-marked")
+    recurring = stored(runs.groupBy("h").agg(F.min("kind").alias("a"), F.max("kind").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("h", "n"), "passage-picks")
+    picked = spread_join(runs.select("h", "id"), recurring.select("h"), ["h"], recurring, ["id"]).groupBy("id").agg(F.collect_set("h").alias("picked"))
+    # a window takes that many bytes at least
+    wanted = copies.where((F.col("last") > F.col("first")) & (F.col("bytes") >= 2 * window - 1)).select(F.col("first").alias("id"), "key", F.col("last").alias("copy"))
+    wanted = copies.select(F.col("first").alias("id"), "key").join(picked, "id").join(wanted, ["id", "key"], "full")
+    marked = stored(keyed.join(wanted, ["id", "key"]).select("id", "key", "text", "picked", "copy", F.octet_length("text").alias("bytes")), "passage-marked")
     drop_stored(recurring)
-    windows = stored(recurring_windows(marked, window), "passage-windows")
-    confirmed = stored(windows.groupBy("w").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner < last").select("w", "owner"), "passage-confirmed")
+    searched = marked.where("picked is not null")
+    windows = stored(recurring_windows(searched, window), "passage-windows")
+    confirmed = stored(windows.groupBy("w").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("owner < last").drop("last"), "passage-confirmed")
     owned = confirmed.groupBy(F.col("owner").alias("id")).agg(F.collect_list("w").alias("owned"))
-    passages = owned_passages(marked.join(owned, "id"), window)
-    routes = windows.join(confirmed, "w").where("owner < id").groupBy("id").agg(F.collect_set("owner").alias("owners"))
-    routes = stored(routes, "passage-routes")
-    drop_stored(windows)
-    total = marked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(total / SHARD_BYTES))
-    # documents that share an owner go together, so that its passages are sent and compiled once
-    routes = routes.withColumn("main", F.array_min("owners"))
-    groups = routes.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
-    shard = F.pmod(F.xxhash64("main", F.pmod(F.xxhash64("id"), F.col("parts"))), F.lit(shards))
-    routes = stored(routes.join(groups, "main").select("id", "owners", shard.alias("shard")), "passage-shards")
-    wanted = routes.select("shard", F.explode("owners").alias("owner")).distinct()
-    empty = F.array().cast("array<bigint>")
-    sent = wanted.join(passages, "owner").select("shard", F.lit(False).alias("is_doc"), F.col("owner").alias("id"), F.lit("").alias("key"), "text", empty.alias("owners"))
-    read = marked.join(routes, "id").select("shard", F.lit(True).alias("is_doc"), "id", "key", "text", "owners")
-    dealt = sent.unionByName(read).repartition(shards, "shard").sortWithinPartitions("shard", "is_doc", "id")
-    return dealt.mapInArrow(_locate(window), _FOUND), copies
+    passages = stored(owned_passages(searched.join(owned, "id"), window).distinct(), "passage-owned")
+    routes = spread_join(windows, confirmed.drop("n"), ["w"], confirmed.select("w", "n"), ["id"]).where("owner < id").groupBy("id").agg(F.collect_set("owner").alias("owners"))
+    routes = stored(routes.join(marked.groupBy("id").agg(F.sum("bytes").alias("bytes")), "id"), "passage-routes")
+    drop_stored(windows, confirmed)
+    whole = marked.where("copy is not null")
+    total = (routes.agg(F.sum("bytes")).first()[0] or 0) + (whole.agg(F.sum("bytes")).first()[0] or 0)
+    dealt = stored(_dealt(routes, total), "passage-shards")
+    drop_stored(routes)
+    sent = dealt.select("shard", F.explode("owners").alias("owner")).distinct()
+    sent = spread_join(sent, passages, ["owner"], sent.groupBy("owner").agg(F.count(F.lit(1)).alias("n")), ["shard"])
+    none, no_id = F.array().cast("array<bigint>"), F.lit(None).cast("long")
+    sent = sent.select("shard", F.lit(False).alias("is_doc"), F.col("owner").alias("id"), F.lit("").alias("key"), "text", none.alias("owners"), no_id.alias("copy"))
+    bins = F.lit(max(1, math.ceil(total / SHARD_BYTES)))
+    whole = whole.select(F.pmod(F.xxhash64("key"), bins).alias("shard"), F.lit(False).alias("is_doc"), "id", "key", "text", none.alias("owners"), "copy")
+    read = searched.join(dealt, "id").select("shard", F.lit(True).alias("is_doc"), "id", "key", "text", "owners", no_id.alias("copy"))
+    tasks = max(1, math.ceil(total / SHARD_BYTES / TASK_SHARDS))
+    ready = sent.unionByName(whole).unionByName(read).repartition(tasks, "shard").sortWithinPartitions("shard", "is_doc", "id")
+    return ready.mapInArrow(_locate(window), _FOUND), copies.select("key", "first", "n")
 
 
 def word_count_bytes(docs: DataFrame) -> DataFrame:
@@ -274,13 +323,18 @@ def word_count_bytes(docs: DataFrame) -> DataFrame:
 
 
 def op9_passages(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found, copies = find_repeats(docs)
-    digest = found.select(F.col("id").alias("f_id"), F.col("key").alias("f_key"), F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"]).alias("n"), F.sha2("kept", 256).alias("kept_sha")).dropDuplicates(["f_id", "f_key"])
-    rows = word_count_bytes(docs.select(F.col("doc_id").alias("id"), F.md5("text").alias("key"), "text"))
-    rows = rows.join(copies, "key", "left").join(digest, (F.col("id") == F.col("f_id")) & (F.col("key") == F.col("f_key")), "left")
-    copy = F.coalesce((F.col("id") > F.col("first")) & (F.col("n_words") >= WINDOW), F.lit(False))
-    return rows.select(F.col("id").alias("doc_id"), "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("n_removed"), F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha", "plain")).alias("kept_sha256"))
+    """Null and word-less texts lose nothing; a null doc_id is no smaller document and loses nothing; rows with one id don't repeat each other."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("id"), "text")
+    found, copies = find_repeats(docs, "id")
+    lost = F.struct(F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"]).alias("n"), F.sha2("kept", 256).alias("sha"))
+    located = found.groupBy("key").agg(F.max(F.when(~F.col("copied"), lost)).alias("as_first"), F.max(F.when(F.col("copied"), lost)).alias("as_copy"))
+    one = copies.drop("n").join(located, "key", "left")
+    rows = word_count_bytes(docs.where("text is not null").withColumn("key", F.md5("text")))
+    rows = spread_join(rows, one, ["key"], copies.select("key", "n"), ["id"], "left")
+    lost = F.when(F.col("id") > F.col("first"), F.col("as_copy")).when(F.col("id") == F.col("first"), F.col("as_first"))
+    out = rows.select(F.col("id").alias("doc_id"), "n_words", F.coalesce(lost["n"], F.lit(0)).cast("long").alias("n_removed"), F.coalesce(lost["sha"], "plain").alias("kept_sha256"))
+    none = F.lit(0).cast("long")
+    return out.unionByName(docs.where("text is null").select(F.col("id").alias("doc_id"), none.alias("n_words"), none.alias("n_removed"), F.sha2(F.lit(""), 256).alias("kept_sha256")))
 
 
 OP9_SQL = r"""
