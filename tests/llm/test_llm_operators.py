@@ -441,6 +441,27 @@ def test_passage_edges(spark):
     assert passages.find_repeats(brute.frame(spark, rows[:0]))[0].count() == 0
 
 
+@given(st.lists(st.sampled_from("ab"), max_size=40), st.lists(st.lists(st.sampled_from("ab"), min_size=4, max_size=16), min_size=1, max_size=5))
+@settings(max_examples=300, deadline=None)
+def test_automaton_against_brute_force(text, held):
+    """Periodic texts too: the words covered by windows of four that stand in a passage."""
+    windows = {tuple(p[i : i + 4]) for p in held for i in range(len(p) - 3)}
+    want = {j for i in range(len(text) - 3) if tuple(text[i : i + 4]) in windows for j in range(i, i + 4)}
+    made = passages.Automaton([(i, " ".join(p).encode()) for i, p in enumerate(held)], window=4)
+    got = made.repeats(99, [c.encode() for c in text], set(range(9)))
+    assert {j for a, b in got for j in range(a, b)} == want and all(x[1] < y[0] for x, y in zip(got, got[1:], strict=False))
+
+
+@given(st.lists(st.integers(0, 1), max_size=200), st.integers(0, 250), st.integers(0, 5))
+def test_common(xs, cut, skip):
+    a, b = tuple(xs), tuple([*xs[:cut], 7, *xs[cut:]])
+    i = min(skip, len(a))
+    n = 0
+    while i + n < len(a) and a[i + n] == b[i + n]:
+        n += 1
+    assert passages.common(a, i, b, i) == n
+
+
 def test_every_removal_is_a_hit(spark, tmp_path):
     """Words that op9 removes are the words that automata located, row by row."""
     rows = [(d % 90 if d is not None else None, *x) for d, *x in brute.corpus(31, 120)] + [(None, x[1], "en", "a") for x in brute.corpus(31, 8)]

@@ -136,56 +136,82 @@ def owned_passages(marked: DataFrame, window: int) -> DataFrame:
     return marked.select("id", "text", "picked", "owned").mapInArrow(over, schema)
 
 
+def common(a: tuple, i: int, b: tuple, j: int) -> int:
+    """How many items of a[i:] and b[j:] agree, by slices that double and then shrink."""
+    n, step, grows, most = 0, 16, True, min(len(a) - i, len(b) - j)
+    while n < most:
+        step = min(step, most - n)
+        if a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+            step = step * 2 if grows else step
+        elif step == 1:
+            break
+        else:
+            grows, step = False, step // 2
+    return n
+
+
 class Automaton:
     """Passages compiled for location in documents."""
 
     def __init__(self, passages: list[tuple[int, bytes]], window: int = WINDOW):
         self.window, self.block = window, window // 2
         self.ids: dict[bytes, int] = {}
-        self.passages: list[tuple[int, list[int]]] = []
+        #: Word numbers of each passage, and the same backwards.
+        self.passages: list[tuple[tuple[int, ...], tuple[int, ...]]] = []
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         places: dict[tuple[int, ...], dict[int, list[tuple[int, int]]]] = {}
         for owner, text in passages:
-            numbers = [self.ids.setdefault(w, len(self.ids) + 1) for w in text.split()]
+            numbers = tuple([self.ids.setdefault(w, len(self.ids) + 1) for w in text.split()])
             k = len(self.passages)
-            self.passages.append((owner, numbers))
+            self.passages.append((numbers, numbers[::-1]))
             for at in range(0, len(numbers) - self.block + 1, self.block):
-                places.setdefault(tuple(numbers[at : at + self.block]), {}).setdefault(owner, []).append((k, at))
+                places.setdefault(numbers[at : at + self.block], {}).setdefault(owner, []).append((k, at))
         for key, where in places.items():
             self.trie.add_word(key, where)
         if places:
             self.trie.make_automaton()
 
     def repeats(self, doc_id: int, words: list[bytes], owners: set[int]) -> list[tuple[int, int]]:
-        """Merged word ranges of `words` that are covered by windows of passages of smaller documents in `owners`."""
+        """Merged word ranges of `words` that are covered by windows of passages of smaller documents in `owners`.
+
+        A hit whose passage, laid over the text, stays within the range found last can add nothing and isn't extended, so
+        text that repeats itself costs no more than other text.
+        """
+        if not len(self.trie):
+            return []
         get = self.ids.get
         text = tuple([get(w, 0) for w in words])
+        back, size = text[::-1], len(text)
         done: dict[tuple[int, int], int] = {}
-        spans = []
-        if not len(self.trie):
-            return spans
+        spans: list[tuple[int, int]] = []
+        a = b = 0
         for last, where in self.trie.iter(text):
-            begin = last - self.block + 1
+            begin, end = last - self.block + 1, last + 1
             for owner in where.keys() & owners:
                 if owner >= doc_id:
                     continue
                 for k, at in where[owner]:
-                    if done.get((k, begin - at), -1) > last:
+                    passage, mirror = self.passages[k]
+                    offset = begin - at
+                    if (a <= max(0, offset) and min(size, offset + len(passage)) <= b) or done.get((k, offset), -1) > last:
                         continue
-                    passage = self.passages[k][1]
-                    low, high, i, j = begin, last + 1, at, at + self.block
-                    while i and low and passage[i - 1] == text[low - 1]:
-                        i, low = i - 1, low - 1
-                    while j < len(passage) and high < len(text) and passage[j] == text[high]:
-                        j, high = j + 1, high + 1
-                    done[k, begin - at] = high
+                    low = begin - common(mirror, len(passage) - at, back, size - begin)
+                    high = end + common(passage, at + self.block, text, end)
+                    done[k, offset] = high
                     if high - low >= self.window:
-                        spans.append((low, high))
+                        if low <= b and a <= high:
+                            a, b = min(a, low), max(b, high)
+                        else:
+                            spans.append((a, b))
+                            a, b = low, high
+            if a == 0 and b == size:
+                break
         out: list[tuple[int, int]] = []
-        for a, b in sorted(spans):
+        for a, b in sorted([*spans, (a, b)]):
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], max(out[-1][1], b))
-            else:
+            elif a < b:
                 out.append((a, b))
         return out
 
