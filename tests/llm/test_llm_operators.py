@@ -59,14 +59,34 @@ def test_decontamination(spark, tmp_path):
     assert sum(x[5] for x in got) > 3
 
 
-def test_decontamination_in_passes_is_the_same(spark):
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_decontamination_in_passes_is_the_same(spark, monkeypatch, broadcast):
+    from tidemark.llm import common
+
+    monkeypatch.setattr(decontaminate, "BROADCAST_HITS", broadcast)
+    monkeypatch.setattr(common, "SPREAD_ROWS", 4)
+    written, searched = [], []
+    real, search = decontaminate.stored, decontaminate._search_hits
+    monkeypatch.setattr(decontaminate, "stored", lambda df, name: written.append(df.columns) or real(df, name))
+    monkeypatch.setattr(decontaminate, "_search_hits", lambda docs, part, window: searched.append(sum(len(w) for _, w in part)) or search(docs, part, window))
     rows = brute.corpus(2, 30)
-    items = spark.createDataFrame([(i, " ".join((rows[i * 3][1] or "w1 w2").split()[:25])) for i in range(8)], "item_id long, text string")
-    docs = brute.frame(spark, rows)
-    one, names = decontaminate.find_contamination(docs, items)
-    many, same = decontaminate.find_contamination(docs, items, matcher_words=20)
-    assert names == same and names["spans"] == "_spans" and set(docs.columns) < set(one.columns)
+    rows += [(2000 + i, rows[3][1], "en", "a") for i in range(20)]
+    items = [(i, " ".join((rows[i * 3][1] or "w1 w2").split()[:25])) for i in range(8)] + [(8, " ".join(" ".join(t for _, t, *_ in rows[:9] if t).split()[:70])), (None, "w1 w2")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = brute.frame(spark, rows).withColumns({c: F.lit(1) for c in ("key", "doc", "n", "j_salt", "items")})
+    one, names = decontaminate.find_contamination(docs, benchmark)
+    assert not searched
+    many, same = decontaminate.find_contamination(docs, benchmark, matcher_words=40)
+    assert names == same and names["spans"] == "_spans" and names["items"] == "_items" and set(docs.columns) < set(one.columns)
     assert sorted(map(str, one.collect())) == sorted(map(str, many.collect()))
+    # many passes, the long item in pieces, and no text in what they write
+    assert len(searched) >= 5 and max(searched) <= 40 and len(items[8][1].split()) == 70
+    assert all("text" not in c and "doc" not in c for c in written) and len(written) == len(searched) + 1
+
+
+def test_decontamination_of_nothing(spark):
+    rows = brute.corpus(2, 30)
+    docs, items = brute.frame(spark, rows), spark.createDataFrame([(1, "w1 w2")], "item_id long, text string")
     assert decontaminate.drop_contaminated(docs, items).columns == docs.columns
     assert decontaminate.drop_contaminated(docs.limit(0), items).count() == 0
     assert decontaminate.drop_contaminated(docs, items.limit(0)).count() == len(rows)
@@ -75,7 +95,7 @@ def test_decontamination_in_passes_is_the_same(spark):
 @given(st.lists(st.sampled_from("abc"), max_size=40), st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=6), min_size=1, max_size=6))
 @settings(max_examples=200)
 def test_wu_manber(text, patterns):
-    items = [(i, " ".join(p).encode()) for i, p in enumerate(patterns)]
+    items = [(i, [c.encode() for c in p]) for i, p in enumerate(patterns)]
     matchers = decontaminate.compile_matchers(items, window=4)
     got = sorted((m.length, at) for m in matchers for at, _ in m.find([c.encode() for c in text]))
     want = set()

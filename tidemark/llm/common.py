@@ -69,7 +69,7 @@ def drop_stored(*frames: DataFrame) -> None:
 SPREAD_ROWS, HOT_KEYS = 256, 10_000
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: Sequence[str], counts: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+def spread_join(many: DataFrame, one: DataFrame, key: Sequence[str], counts: DataFrame, by: Sequence[str | Column], how: str = "inner") -> DataFrame:
     """`many` joined to `one` on `key`, a hot key's rows in several tasks.
 
     `counts` has `key` and n, the rows of `many` with that key.  The HOT_KEYS keys with the most rows, if more than
