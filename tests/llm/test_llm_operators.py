@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -304,18 +305,70 @@ URLS = [
 ]
 
 
+def plain(line):
+    """A filter line as a regular expression, character by character."""
+    body, out = line.removeprefix("@@"), ""
+    if body.startswith("||"):
+        body, out = body[2:], r"^(?:[^/]*\.)?"
+    elif body.startswith("|"):
+        body, out = body[1:], "^"
+    end = body.endswith("|")
+    for c in body[:-1] if end else body:
+        out += {"*": ".*", "^": r"(?:[^0-9A-Za-z_.%-]|\Z)"}.get(c) or re.escape(c)
+    return re.compile(out + (r"\Z" if end else ""), re.S)
+
+
+SPAM_PLAIN = [(r, plain(r.line)) for r in urls.SPAM_RULES]
+
+
+def other_verdict(host, path):
+    fit = [r for r, p in SPAM_PLAIN if host and p.search(host + path)]
+    return "block" if fit and not any(r.exception for r in fit) else "allow"
+
+
 @pytest.mark.parametrize("inline", [500, 3])
 def test_urls(spark, tmp_path, monkeypatch, inline):
+    assert 200 < len(urls.SPAM_RULES) + len(urls.CONTRACT_RULES) <= 500
     monkeypatch.setattr(urls, "INLINE_RULES", inline)
-    rows = [(i, u, "x", "y") for i, u in enumerate([*URLS, *URLS[:5]])]
+    r = random.Random(3)
+    made = []
+    for _ in range(400):
+        t, u = r.choice(urls.TRADES), r.choice(urls.TRADES)
+        host = r.choice(["www.{}.net", "{}-x.org", "a-{}.com:80", "{}", "my{}.org", "www.best-{}s.de", "stop-{}.org", "plain.example", "best-{}.de"]).format(t)
+        path = r.choice(["", "/", "/{}/", "/{}", "/{}s/", "/{}-new/offers", "/buy-{}?x=1", "/go/a/b/{}", "/{}-addiction", "/history-of-{}/x", "/é/{}/#f", "/A-{}/"]).format(u)
+        made.append(f"http://{host}{path}")
+    made += ["http://a.net/" + "poker-" * 20000 + "/offer", "http://" + "x" * 50000 + ".org/poker/"]
+    rows = [(i, u, "x", "y") for i, u in enumerate([*URLS, *URLS[:5], *made])]
     spark.createDataFrame(rows, "page_id long, url string, html string, verdict2 string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {r.page_id: r for r in urls.op5_urls(spark, str(tmp_path)).collect()}
     assert len(got) == len(rows)
     for i, u, *_ in rows:
         host, path, rule = judged(u)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule[0] if rule else None), u
-        spam = any(f".{host}".find(f".{r.host}{end}") >= 0 for r in urls.SPAM_RULES for end in ("-", ".")) or any(f".{host}".endswith(f".{r.host}") for r in urls.SPAM_RULES)
-        assert got[i].verdict == (rule[1] if rule else "block" if spam else "allow"), u
+        assert got[i].verdict == (rule[1] if rule else other_verdict(host, path)), u[:200]
+    others = [x for x in got.values() if x.rule is None]
+    assert sum(x.verdict == "block" for x in others) > 100 < sum(x.verdict == "allow" for x in others)
+
+
+@pytest.mark.parametrize(("line", "tokens"), [("||a.b^", ["a", "b"]), ("/x/y*z/", ["x"]), ("foo", []), ("|www.best-x*.", ["best", "www"]), ("@@/a-b^", ["a", "b"]), ("/p|", ["p"]), ("x|", []), ("*", []), ("||*-q.", ["q"])])
+def test_pattern_tokens(line, tokens):
+    assert urls.Pattern(line).tokens == tokens
+
+
+@pytest.mark.parametrize("inline", [500, 1])
+def test_lines_of_a_filter_list(spark, monkeypatch, inline):
+    """Every kind of mark, against plain expressions, each line alone and all together."""
+    monkeypatch.setattr(urls, "INLINE_RULES", inline)
+    lines_ = ["||a.b^", "/x/y*z/", "foo", "|www.", "@@/a-b^", "/p|", "||c", "*q*", "^k^", "|a.b|", "@@||d.e/x", "h*|"]
+    hosts, paths = ["a.b", "x.a.b", "xa.b", "www.c", "c.d", "d.e", "foo.q", "a.b:8", "k"], ["", "/", "/x/yyz/", "/a-b", "/a-bc", "/p", "/p/", "/k/q", "/xq/foo", "/x\n"]
+    df = spark.createDataFrame([(f"s://{h}{p}",) for h in hosts for p in paths], "url string")
+    expect = {f"s://{h}{p}": {x for x in lines_ if plain(x).search(h + p)} for h in hosts for p in paths}
+    for x in ([*lines_] if inline == 500 else []):
+        got = {r.url for r in urls.judge(df, rule_sets=[[urls.Pattern(x)]]).where("rule is not null").collect()}
+        assert got == {u for u, fit in expect.items() if x in fit}, x
+    for r in urls.judge(df, rule_sets=[[urls.Pattern(x) for x in lines_]]).collect():
+        best = max(expect[r.url], key=lambda x: (x.startswith("@@"), len(x), x), default=None)
+        assert r.rule == best and r.verdict == ("allow" if best is None or best.startswith("@@") else "block")
 
 
 def test_rarest_tokens(spark):
