@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.llm.common import fresh, stored, table
+from tidemark.llm.common import fresh, spread_join, stored, table
 
 MIN_SITES, SKETCH_LOG2 = 5, 12
 #: Half-width of the band of estimates that are counted exactly: over six standard errors of the sketch (1.04 / sqrt(2**12)).
@@ -25,6 +26,7 @@ def lines_of(text: Column) -> Column:
 
 
 def blank(line: Column) -> Column:
+    """Nothing but spaces; a line of other white space is a line like any other."""
     return F.trim(line) == ""
 
 
@@ -40,32 +42,37 @@ def spread_lines(docs: DataFrame, site_col: str = "source", text_col: str = "tex
     return estimates.where(F.col("sites") >= high).select("line").unionByName(counts.where(F.col("sites") >= min_sites).select("line"))
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> tuple[DataFrame, dict[str, str]]:
+def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> tuple[DataFrame, dict[str, str]]:
     """`docs` with three columns more: n_lines, n_removed, kept (the text without its boilerplate lines; order and blank lines stay).
 
     Returns the frame and the names the three columns got (they dodge columns of `docs`).  Null text has no lines and
-    stays null; null ids and repeated rows keep their rows, each judged by its own lines; empty input gives an empty result.
+    stays null; repeated rows keep their rows, each judged by its own lines; empty input gives an empty result.  Texts
+    meet their boilerplate lines by a digest of the text, a text on many rows in several tasks.
     """
     names = {k: fresh(docs, k) for k in ("n_lines", "n_removed", "kept")}
-    hidden = {k: fresh(docs, k) for k in ("l_id", "l_hashes")}
     boilerplate = stored(spread_lines(docs, site_col, text_col, min_sites), "line-boilerplate")
     if boilerplate.count() <= BROADCAST_LINES:
         boilerplate = F.broadcast(boilerplate)
-    text = F.col(f"`{text_col}`")
-    own = docs.select(F.col(f"`{id_col}`").alias(hidden["l_id"]), F.explode(F.array_distinct(F.transform(lines_of(text), lambda x: F.xxhash64(x)))).alias("line")).join(boilerplate, "line", "left_semi")
-    own = own.groupBy(hidden["l_id"]).agg(F.collect_set("line").alias(hidden["l_hashes"]))
-    joined = docs.join(own, docs[id_col].eqNullSafe(own[hidden["l_id"]]), "left")
-    kept = F.filter(lines_of(text), lambda x: blank(x) | ~F.array_contains(F.col(hidden["l_hashes"]), F.xxhash64(x)))
-    kept = F.when(F.col(hidden["l_hashes"]).isNull(), lines_of(text)).otherwise(kept)
-    out = joined.withColumn(names["kept"], kept)
+    salt = [F.col("doc")[f.name] for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    text = F.col("doc")[text_col]
+    # rows without a text match nothing; a key of their own keeps them apart
+    whole = whole.withColumn("key", F.coalesce(F.md5(text), F.xxhash64(*salt).cast("string")))
+    own = whole.select("key", F.explode(F.array_distinct(F.transform(lines_of(text), lambda x: F.xxhash64(x)))).alias("line")).join(boilerplate, "line", "left_semi")
+    own = own.groupBy("key").agg(F.collect_set("line").alias("hashes"), F.count(F.lit(1)).alias("n"))
+    joined = spread_join(whole, own.drop("n"), ["key"], own.select("key", "n"), salt, "left")
+    kept = F.filter(lines_of(text), lambda x: blank(x) | ~F.array_contains("hashes", F.xxhash64(x)))
+    kept = F.when(F.col("hashes").isNull(), lines_of(text)).otherwise(kept)
+    out = joined.withColumn("kept", kept)
     n = F.coalesce(F.size(lines_of(text)), F.lit(0))
     n = F.when(text.isNull(), 0).otherwise(n).cast("long")
-    left = F.when(text.isNull(), 0).otherwise(F.size(F.col(names["kept"]))).cast("long")
-    out = out.withColumn(names["n_lines"], n).withColumn(names["n_removed"], n - left).withColumn(names["kept"], F.array_join(names["kept"], "\n"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *names.values()), names
+    left = F.when(text.isNull(), 0).otherwise(F.size("kept")).cast("long")
+    made = [n.alias(names["n_lines"]), (n - left).alias(names["n_removed"]), F.array_join("kept", "\n").alias(names["kept"])]
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns], *made), names
 
 
 def op8_lines(spark, sf_dir: str) -> DataFrame:
+    """Null texts have no lines and an empty kept text; a null source is no site; null and repeated doc_ids are rows of their own."""
     out, names = remove_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", F.col(names["n_lines"]).alias("n_lines"), F.col(names["n_removed"]).alias("n_removed"), F.sha2(F.coalesce(F.col(names["kept"]), F.lit("")), 256).alias("kept_sha256"))
 
