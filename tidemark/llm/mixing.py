@@ -40,8 +40,10 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     w = w.withColumn("most", cap * F.col("source_size")).withColumn("ratio", F.col("most") / F.col("w"))
     fill = Window.orderBy("ratio", "rank")
     everything = Window.partitionBy()
-    below = F.coalesce(F.sum("most").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    weight = F.sum("w").over(fill.rowsBetween(0, Window.unboundedFollowing))
+    before = fill.rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("most").over(before), F.lit(0))
+    # a frame to the end would be summed anew for each row
+    weight = F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0))
     w = w.withColumn("total", F.sum("source_size").over(everything)).withColumn("level", (share * F.col("total") - below) / weight)
     w = w.withColumn("level", F.min(F.when(F.col("ratio") >= F.col("level"), F.struct("ratio", "rank", "level"))).over(everything)["level"])
     return w.select("source", "source_size", "rank", F.least(F.col("most").cast("double"), F.col("level") * F.col("w")).alias("target"))
@@ -133,6 +135,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source
 
 
 def op10_mix(spark, sf_dir: str) -> DataFrame:
+    """Null texts have size 0 and are never taken; a null source is one of its own, last; null and repeated ids stay rows of their own."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     shards = F.array_join(F.transform("copies", lambda c: c["shard"].cast("string")), ",")
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", shards.alias("shards"))
