@@ -9,15 +9,12 @@ points.  Both work on whole values; memory is a few times one value.
 
 from __future__ import annotations
 
-import hashlib
-import zlib
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, table, text_bytes
+from tidemark.llm.common import bounded_batches, fresh, table, text_bytes
 
 # Fixed values of the format.
 PACKET, SYNC, PAT_PID, PMT_PID, ES_PID, PROGRAM, PRIVATE_DATA, PRIVATE_STREAM_1 = 188, 0x47, 0x0000, 0x1000, 0x0100, 1, 0x06, 0xBD
@@ -192,9 +189,9 @@ def padded(text: bytes | None) -> bytes:
 
 
 def to_streams(df: DataFrame, text_col: str, out_col: str = "media") -> DataFrame:
-    """`df` with a binary column more: each text (null: empty) as a transport stream.  `out_col` must be no column of `df`."""
+    """`df` with a binary column more: each text (null: empty) as a transport stream; see `fresh` for its name."""
     bounded_batches(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(fresh(df, out_col), T.BinaryType())])
     at = df.columns.index(text_col)
 
     def over(batches):
@@ -205,21 +202,21 @@ def to_streams(df: DataFrame, text_col: str, out_col: str = "media") -> DataFram
     return df.mapInArrow(over, schema)
 
 
-FEATURES = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("program_pids", T.ArrayType(T.IntegerType())), T.StructField("stream_pids", T.ArrayType(T.IntegerType())), T.StructField("timestamps", T.ArrayType(T.LongType())), T.StructField("random_access", T.ArrayType(T.LongType())), T.StructField("packets", T.LongType()), T.StructField("pes", T.LongType()), T.StructField("discontinuities", T.LongType())])
+FEATURES = T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("program_pids", T.ArrayType(T.IntegerType())), T.StructField("stream_pids", T.ArrayType(T.IntegerType())), T.StructField("stream_types", T.ArrayType(T.IntegerType())), T.StructField("timestamps", T.ArrayType(T.LongType())), T.StructField("random_access", T.ArrayType(T.LongType())), T.StructField("packets", T.LongType()), T.StructField("pes", T.LongType()), T.StructField("discontinuities", T.LongType())])
 
 
 def parse_streams(df: DataFrame, media_col: str, out_col: str = "parsed") -> DataFrame:
-    """`df` with a struct column more (FEATURES) from its transport streams; null for null.  `out_col` must be no column of `df`."""
+    """`df` with a struct column more (FEATURES) from its transport streams; null for null; see `fresh` for its name."""
     bounded_batches(df.sparkSession)
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, FEATURES)])
+    schema = T.StructType([*df.schema.fields, T.StructField(fresh(df, out_col), FEATURES)])
     at = df.columns.index(media_col)
-    kind = pa.struct([("payload", pa.binary()), ("program_pids", pa.list_(pa.int32())), ("stream_pids", pa.list_(pa.int32())), ("timestamps", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int64())), ("packets", pa.int64()), ("pes", pa.int64()), ("discontinuities", pa.int64())])
+    kind = pa.struct([("payload", pa.binary()), ("program_pids", pa.list_(pa.int32())), ("stream_pids", pa.list_(pa.int32())), ("stream_types", pa.list_(pa.int32())), ("timestamps", pa.list_(pa.int64())), ("random_access", pa.list_(pa.int64())), ("packets", pa.int64()), ("pes", pa.int64()), ("discontinuities", pa.int64())])
 
     def row(stream: bytes | None) -> dict | None:
         if stream is None:
             return None
         x = demux(stream)
-        return x | {"program_pids": sorted(x["programs"].values()), "stream_pids": sorted(x["streams"])}
+        return x | {"program_pids": sorted(x["programs"].values()), "stream_pids": sorted(x["streams"]), "stream_types": [x["streams"][p] for p in sorted(x["streams"])]}
 
     def over(batches):
         for batch in batches:
@@ -229,25 +226,19 @@ def parse_streams(df: DataFrame, media_col: str, out_col: str = "parsed") -> Dat
     return df.mapInArrow(over, schema)
 
 
-_DIGEST = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType())])
-
-
-def _digest(batches):
-    for batch in batches:
-        columns: list[list] = [[] for _ in range(7)]
-        for text in text_bytes(batch.column(1)):
-            media = mux(padded(text))
-            x = demux(media)
-            data, stamps = x["payload"], x["timestamps"]
-            feature = f"programs={len(x['programs'])};pid={min(x['streams'])};type={x['streams'][min(x['streams'])]};packets={x['packets']};pes={x['pes']};pts={stamps[0]}-{stamps[-1]};random_access={len(x['random_access'])};discontinuities={x['discontinuities']}"
-            row = (len(text or b""), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature)
-            for column, value in zip(columns, row, strict=True):
-                column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=_DIGEST.names)
-
-
 def op4_media(spark, sf_dir: str) -> DataFrame:
-    """Store each document as a transport stream, parse it back, and report digests of what was read."""
-    bounded_batches(spark)
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_digest, _DIGEST)
+    """Each document as a transport stream in a column, parsed back into another, and digests of both.
+
+    A null text is an empty one; null and repeated doc_ids are rows of their own.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    x = parse_streams(to_streams(docs, "text"), "media")
+    data = F.col("parsed.payload")
+    counts = {"programs": F.size("parsed.program_pids"), "pid": F.col("parsed.stream_pids")[0], "type": F.col("parsed.stream_types")[0], "packets": F.col("parsed.packets"), "pes": F.col("parsed.pes")}
+    counts |= {"pts": F.concat_ws("-", F.col("parsed.timestamps")[0], F.element_at("parsed.timestamps", -1)), "random_access": F.size("parsed.random_access"), "discontinuities": F.col("parsed.discontinuities")}
+    feature = F.concat_ws(";", *[F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in counts.items()])
+    size = F.octet_length(data)
+    return x.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), size.cast("long").alias("payload_bytes"), F.sha2(data, 256).alias("payload_sha256"),
+        F.crc32(F.substring(data, -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature.alias("feature"),
+    )
