@@ -154,8 +154,8 @@ def test_sharding(spark, tmp_path):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and all(len(h) == 1 for h in homes.values())
     again = sharding.op2_shard(spark, str(tmp_path)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
-    whole = sharding.shard_corpus(brute.frame(spark, rows).drop("shard"))
-    assert whole.count() == len(rows) and whole.columns[-2:] == ["shard", "slot"]
+    whole = sharding.shard_corpus(brute.frame(spark, rows))
+    assert whole.count() == len(rows) and whole.columns[-2:] == ["_shard", "slot"]
     assert sharding.shard(brute.frame(spark, rows[:0])).count() == 0
 
 
@@ -400,7 +400,7 @@ def test_languages(spark, tmp_path):
     assert special[900] == special[901] == special[902] == ("und", 0.0) and special[903][0] == "cc"
     assert all(0 <= x.score <= 1 for x in got)
     assert langid.fit(brute.frame(spark, [])) is None
-    assert {x.lang_pred for x in langid.predict(brute.frame(spark, rows[:3]).drop("score"), None).collect()} == {"und"}
+    assert {x.lang_pred for x in langid.predict(brute.frame(spark, rows[:3]), None).collect()} == {"und"}
 
 
 def test_presence_is_the_set_of_ngrams():
@@ -680,3 +680,58 @@ def test_components_of_a_large_star(spark):
     links = [(i, 5) for i in range(6, 3000)] + [(3000 + i, 3001 + i) for i in range(40)] + [(3020, 17)]
     got = {x.node: x.component for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert set(got.values()) == {5} and len(got) == 2995 + 41
+
+
+OUT = ["n_words", "spans", "items", "shard", "slot", "media", "parsed", "host", "path", "rule", "verdict", "from_set", "lang_pred", "score", "n_lines", "n_removed", "kept", "lang_lettered"]
+OWN = ["doc", "key", "n", "best", "hashes", "j_salt", "j_parts", "unit", "part", "id", "size", "rep", "band", "component", "n_shingles", "copies", "taken", "bucket", "fold", "label", "s_id", "s_class", "u_best", "line"]
+
+
+@pytest.mark.parametrize("name", ["decontaminate", "drop_contaminated", "shard", "shard_corpus", "near", "keep_one", "streams", "urls", "langs", "toxic", "drop_toxic", "lines", "passages", "mix", "apply_mix"])
+def test_clashing_names(spark, name):
+    """Every operator takes a frame that holds its own names, gives it back unchanged and adds under other names."""
+    rows = brute.corpus(41, 12) + [(None, "http://x.com/en/ w1", "en", "a"), (None, None, None, None)]
+    docs = spark.createDataFrame([(d, t, g, s, len(t or "")) for d, t, g, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(f"mine {c}").alias(c) for c in OUT + OWN])
+    benchmark, labels = spark.createDataFrame([(1, rows[0][1] or "w1"), (2, "w2 w3")], "item_id long, text string"), spark.createDataFrame([(d, i % 2) for i, (d, *_) in enumerate(rows)], "doc_id long, toxic int")
+    run = {
+        "decontaminate": lambda: decontaminate.find_contamination(docs, benchmark)[0], "drop_contaminated": lambda: decontaminate.drop_contaminated(docs, benchmark), "shard": lambda: sharding.shard(docs), "shard_corpus": lambda: sharding.shard_corpus(docs),
+        "near": lambda: neardup.near_duplicates(docs), "keep_one": lambda: neardup.keep_one(docs), "streams": lambda: media.parse_streams(media.to_streams(docs, "text"), "_media"), "urls": lambda: urls.judge(docs, "text"),
+        "langs": lambda: langid.predict(docs, langid.fit(docs)), "toxic": lambda: toxicity.score(docs, toxicity.fit(docs, labels)), "drop_toxic": lambda: toxicity.drop_toxic(docs, toxicity.fit(docs, labels)), "lines": lambda: lines.remove_boilerplate(docs)[0],
+        "passages": lambda: passages.find_repeats(docs)[1], "mix": lambda: mixing.mix(docs), "apply_mix": lambda: mixing.apply_mix(docs),
+    }
+    out = run[name]()
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    got = out.collect()
+    if set(docs.columns) <= set(out.columns):
+        assert out.columns[: len(docs.columns)] == docs.columns and all(r[c] == f"mine {c}" for r in got for c in OUT + OWN)
+        if name in ("decontaminate", "shard_corpus", "streams", "urls", "langs", "toxic", "lines"):
+            assert sorted(str((r.doc_id, r.text, r.lang, r.source)) for r in got) == sorted(str(x) for x in rows)
+    else:
+        assert name in ("shard", "near", "passages", "mix") and got
+
+
+def test_many_sources_and_a_source_of_each_row(spark):
+    """Targets are computed in time that grows with the number of sources, not with its square."""
+    sizes = spark.range(40_000).select(F.format_string("s%06d", "id").alias("source"), (F.col("id") % 97 + 1).alias("source_size"))
+    got = {r.source: r.target for r in mixing.targets(sizes).collect()}
+    want = brute.shares([i % 97 + 1 for i in range(40_000)])
+    assert all(abs(got[f"s{i:06d}"] - want[i]) < 1e-6 for i in range(40_000))
+
+
+def test_sample_of_many_classes_is_bounded(spark):
+    from tidemark.llm.samples import sample_ids
+
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 600, F.concat(F.lit("g"), F.col("id") % 3)).otherwise(F.col("id").cast("string")).alias("lang"))
+    got = Counter(r.s_class for r in sample_ids(df, "doc_id", "lang", 50, 10).collect())
+    assert len(got) == 10 and all(got[f"g{i}"] == 50 for i in range(3))
+
+
+def test_scratch_folder_must_be_shared():
+    from types import SimpleNamespace
+
+    from tidemark.llm import common
+
+    none = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False)))
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="spark://host:7077", _jsc=none))
+    with pytest.raises(RuntimeError, match="share"):
+        common.scratch_root(cluster)

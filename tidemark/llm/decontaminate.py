@@ -175,8 +175,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     # the documents' own columns stay in a struct, so that no name of theirs clashes with ours
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     text = F.col("doc")[text_col].cast("string")
-    keyed = whole.withColumn("key", F.unhex(F.sha2(text, 256)))
-    texts = keyed.where("key is not null").select("key", text.alias("text"))
+    salt = [F.col("doc")[f.name] for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    # rows without a text match nothing; a key of their own keeps them apart
+    keyed = whole.withColumn("key", F.coalesce(F.unhex(F.sha2(text, 256)), F.xxhash64(*salt).cast("string").cast("binary")))
+    texts = keyed.where(text.isNotNull()).select("key", text.alias("text"))
     found = [stored(_search_hits(texts, p, window), "decontamination-hits") for p in (part, following)]
     found += [stored(_search_hits(texts, p, window), "decontamination-hits") for p in parts]
     hits = found[0].withColumn("pass", F.lit(0))
@@ -190,7 +192,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     if rows <= BROADCAST_HITS and size <= BROADCAST_HITS:
         joined = keyed.join(F.broadcast(merged.drop("n")), "key", "left")
     else:
-        salt = [F.col("doc")[f.name] for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType)]
         joined = spread_join(keyed, merged.drop("n"), ["key"], merged.select("key", "n"), salt, "left")
     n = F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     extra = [n.alias(names["n_words"]), F.coalesce("spans", F.array().cast(_RANGES)).alias(names["spans"]), F.coalesce("items", F.array().cast("array<string>")).alias(names["items"])]

@@ -1,6 +1,7 @@
 """Language identification by string kernels.
 
-A text is the set of byte n-grams it holds (letters only, A-Z lower-cased, everything else one space).  The blended
+A text is the set of byte n-grams it holds (letters only, A-Z lower-cased, everything else one space), for each n hashed
+to 2**BITS places: it is places that are compared, and n-grams that share one are taken for one.  The blended
 spectrum kernel of two texts is the mean over n of |common n-grams| / sqrt(|own| |other's|).  Nystroem features come from
 a set of landmark texts; kernel ridge regression learns one score for each language against the rest.  As the kernel is
 linear in the presence vectors, landmarks and weights fold into one matrix for each n, and a batch of texts is scored by
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import bounded_batches, table, text_bytes
+from tidemark.llm.common import bounded_batches, fresh, table, text_bytes
 from tidemark.llm.kernels import chunks
 from tidemark.llm.samples import crc_of, sample_ids
 
@@ -120,15 +121,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def predict(docs: DataFrame, model: KernelRidge | None, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
-    """`docs` with the predicted language and a score from 0 to 1; the two names must be no columns of `docs`.
+    """`docs` with the predicted language and a score from 0 to 1; a name that `docs` has already gets underscores in front, see `fresh`.
 
     A text that is null or has no letter, or any text if nothing was learned, is `und` with score 0.  Whole texts are
     judged, rows alone: repeated rows get equal results; of equal scores the first language in code point order wins.
     """
     bounded_batches(docs.sparkSession)
-    lettered = "lang_lettered"
-    while lettered in docs.columns:
-        lettered += "_"
+    lettered, lang_out, score_out = (fresh(docs, n) for n in ("lang_lettered", lang_out, score_out))
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])
     width, at = len(docs.columns), docs.columns.index(text_col)
 
@@ -152,6 +151,7 @@ def predict(docs: DataFrame, model: KernelRidge | None, text_col: str = "text",
 
 
 def op6_langid(spark, sf_dir: str) -> DataFrame:
+    """Null, empty and letterless texts are `und`; rows without a lang teach nothing; null doc_ids are rows of their own."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.pmod(crc_of(F.col("doc_id")), F.lit(4)) == 2
     model = fit(docs.where(~held))

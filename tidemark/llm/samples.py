@@ -7,20 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Classes that are learned at most.
+CLASSES = 200
+
+
 def crc_of(id_col: Column) -> Column:
     """crc32 of the id written as text; null counts as an empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary"))
 
 
-def sample_ids(labelled: DataFrame, id_col: str, class_col: str, per_class: int) -> DataFrame:
+def sample_ids(labelled: DataFrame, id_col: str, class_col: str, per_class: int, classes: int = CLASSES) -> DataFrame:
     """(s_id, s_class, s_at): up to `per_class` rows of each class, those with the smallest id hashes, numbered from 1 in that order; the same ones on every run.
 
+    Of more classes than `classes`, those with the most rows count, so that the sample is bounded where labels are dirty.
     A first pass counts classes; a second keeps about twice as many rows as asked for by a hash threshold, so no class,
     however large, is sorted in one task.
     """
     rows = labelled.select(F.col(id_col).alias("s_id"), F.col(class_col).alias("s_class")).where("s_id is not null and s_class is not null").groupBy("s_id").agg(F.max("s_class").alias("s_class"))
     rows = rows.withColumn("s_hash", F.pmod(F.xxhash64("s_id"), F.lit(1 << 52)))
-    counts = {r["s_class"]: r["n"] for r in rows.groupBy("s_class").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["s_class"]: r["n"] for r in rows.groupBy("s_class").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "s_class").limit(classes).collect()}
     keep = F.lit(False)
     for name, n in counts.items():
         keep = keep | ((F.col("s_class") == F.lit(name)) & (F.col("s_hash") < int((1 << 52) * min(1.0, (2 * per_class + 50) / n))))

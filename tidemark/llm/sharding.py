@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import fresh, stored, table
 
 SHARDS, OVERHEAD, UNIT_DIGITS = 40, 16, 4
 
@@ -105,13 +105,14 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
 
 def shard_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
-    """The columns of `docs`, whole, with the shard and slot of each row; the two names must be no columns of `docs`."""
+    """The columns of `docs`, whole, with the shard and slot of each row; a name that `docs` has already gets underscores in front, see `fresh`."""
     rows = _sized(docs, id_col, text_col)
     narrow = stored(rows.select("id", "size", "unit"), "shard-sizes")
     out = _place(rows, narrow, shards)
-    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns], F.col("shard").alias(shard_col), F.col("slot").alias(slot_col))
+    return out.select(*[F.col("doc")[c].alias(c) for c in docs.columns], F.col("shard").alias(fresh(docs, shard_col)), F.col("slot").alias(fresh(docs, slot_col)))
 
 
 def op2_shard(spark, sf_dir: str) -> DataFrame:
+    """Null and empty texts are one group of 16 bytes each; null and repeated doc_ids are rows of their own."""
     out = shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

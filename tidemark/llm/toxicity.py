@@ -287,12 +287,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col: str = "score") -> DataFrame:
-    """`docs` with a score from 0 to 1 (`out_col`, no column of `docs`); null and empty texts are scored too, 0 if nothing was learned.
+    """`docs` with a score from 0 to 1 (`out_col`, with underscores in front if `docs` has it, see `fresh`); null and empty texts are scored too, 0 if nothing was learned.
 
     Rows are judged alone, by whole texts: ties and repeated rows get equal scores; empty input gives an empty result.
     """
     bounded_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(fresh(docs, out_col), T.DoubleType())])
     at = docs.columns.index(text_col)
 
     def over(batches):
@@ -316,6 +316,7 @@ def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text", thr
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Null texts are scored as empty ones; null labels teach nothing; rows that repeat an id are each scored by their text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, learned_rows(table(spark, sf_dir, "labels")))
     out = score(docs.select("doc_id", "text", (F.pmod(crc_of(F.col("doc_id")), F.lit(3)) == 1).alias("held_out")), model)
