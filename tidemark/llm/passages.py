@@ -30,7 +30,7 @@ from tidemark.llm.kernels import Words, chunks, sliding_min
 WINDOW = 50
 CHUNK_BYTES = 500_000
 #: Text bytes of the documents of one shard, about; and shards of a task, about, so that their differences even out.
-SHARD_BYTES, TASK_SHARDS = 1_000_000, 8
+SHARD_BYTES, TASK_SHARDS = 1_000_000, 4
 _OUT_ROWS = 200_000
 
 
