@@ -215,3 +215,50 @@ def test_batch_client_fold_reads_payloads(spark, sf_dir, monkeypatch):
     messages = catalog.client_messages
     monkeypatch.setattr(catalog, "client_messages", lambda *a: messages(*a).withColumn("payload", F.when(F.col("baseline") == 0, F.unhex(F.lit("FF"))).otherwise(F.col("payload"))))
     assert {r.applied for r in catalog.QUERIES["batch_client_fold"](spark, sf_dir).collect()} == {0}
+
+
+def test_interpolation_of_one_long_entity(spark):
+    """In time that grows with the samples; ties count the greatest value before and the least after."""
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import history as H
+
+    n = 40_000
+    samples = spark.range(n).select(F.lit(1).alias("e"), (F.col("id") * 10).alias("t"), (F.col("id") * 2.0).alias("v"))
+    wanted = spark.range(n).select(F.lit(1).alias("e"), (F.col("id") * 10 + 5).alias("at"))
+    out = H.interpolate(samples, wanted, ["e"], "t", "v", "at")
+    assert out.where((F.col("at") < (n - 1) * 10) & (F.abs(F.col("v") - (F.col("at") / 5.0)) < 1e-6)).count() == n - 1
+    assert out.where(f"at > {(n - 1) * 10}").first().v == 2.0 * (n - 1)
+    ties = spark.createDataFrame([(1, 0, 1.0), (1, 0, 3.0), (1, 10, 5.0), (1, 10, 9.0)], "e int, t long, v double")
+    asked = spark.createDataFrame([(1, 0), (1, 5), (1, 10), (1, -1), (2, 3)], "e int, at long")
+    got = {(r.e, r.at): r.v for r in H.interpolate(ties, asked, ["e"], "t", "v", "at").collect()}
+    assert got == {(1, 0): 3.0, (1, 5): 4.0, (1, 10): 9.0, (1, -1): None, (2, 3): None}
+
+
+def test_datagrams(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming import clients
+
+    df = spark.createDataFrame([(0, b""), (1, b"\x00\xff"), (256, b"a"), (2**32 - 1, b"xyz"), (None, b"a"), (3, None)], "tick long, payload binary")
+    out = df.withColumn("d", clients.frame(F.col("tick"), F.col("payload")))
+    tick, payload = clients.unframe(F.col("d"))
+    rows = out.select("*", tick.alias("t"), payload.alias("p")).collect()
+    for r in rows:
+        if r.tick is None or r.payload is None:
+            assert r.d is r.t is r.p is None
+        else:
+            assert bytes(r.d) == r.tick.to_bytes(4, "little") + bytes(r.payload) and r.t == r.tick and bytes(r.p) == bytes(r.payload)
+    short = spark.createDataFrame([(b"abc",)], "d binary")
+    assert short.select(*clients.unframe(F.col("d"))).first() == (None, None)
+
+
+def test_scratch_folder_must_be_shared():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from tidemark.plans import inputs
+
+    with pytest.raises(RuntimeError, match="share"):
+        inputs.scratch(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master="yarn")), "x")

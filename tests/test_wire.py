@@ -142,3 +142,17 @@ def test_cut_short():
         except (wire.WireError, UnicodeDecodeError):
             pass
     assert Ref("World") == c.type
+
+
+def test_many_strings_decode_in_linear_time():
+    import time
+
+    from tidemark.functions.schema import parse_schema
+    from tidemark.functions.wire import Codec
+
+    codec = Codec(parse_schema("Names: {held: string[]}"), "Names")
+    old, new = {"held": [f"a{i}" for i in range(20_000)]}, {"held": [f"b{i // 2}" for i in range(20_000)]}
+    data = codec.encode_diff(old, new)
+    began = time.perf_counter()
+    assert codec.decode_diff(old, data) == new and codec.decode(codec.encode(new)) == new
+    assert time.perf_counter() - began < 3

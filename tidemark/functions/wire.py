@@ -132,11 +132,17 @@ class _Writer:
 
 
 class _Reader:
-    __slots__ = ("at", "bit", "data", "end", "flags", "strings")
+    __slots__ = ("at", "bit", "data", "end", "flags", "held", "strings")
 
     def __init__(self, data: bytes, known: dict[bytes, tuple[int, ...]]):
         self.flags, self.end = unpack_bits(data, known)
-        self.data, self.at, self.bit, self.strings = data, 0, 0, []
+        self.data, self.at, self.bit, self.strings, self.held = data, 0, 0, [], set()
+
+    def hold(self, v: str, again: bool = False) -> None:
+        """Number a string that may be referred to; one that was sent is numbered even if it is held already."""
+        if again or v not in self.held:
+            self.strings.append(v)
+            self.held.add(v)
 
     def number(self) -> int:
         at, data, end = self.at, self.data, self.end
@@ -316,7 +322,7 @@ class Codec:
             n = read.signed()
             if n > 0:
                 v = read.raw(n).decode()
-                read.strings.append(v)
+                read.hold(v, again=True)
                 return v
             if not n:
                 return ""
@@ -329,8 +335,7 @@ class Codec:
             put(b, out)
 
         def get_value(a, read):
-            if a not in read.strings:
-                read.strings.append(a)
+            read.hold(a)
             return get(read)
 
         kind.put, kind.get, kind.put_value, kind.get_value, kind.same = put, get, put_value, get_value, _equal

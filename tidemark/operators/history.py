@@ -114,15 +114,18 @@ def drop_owned(owned: DataFrame, owner: str, removed: DataFrame, key: str) -> Da
 def interpolate(samples: DataFrame, wanted: DataFrame, entity: Sequence[str], t: str, value: str, at: str) -> DataFrame:
     """Values at the wanted times, between the last sample at or before and the first after; held beyond the last, null before the first.
 
-    Both sides go through one window over the entity's merged times: as-of in both directions without a theta join.
+    Both sides go through one window over the entity's merged times, forwards and backwards, each with a running frame: as-of
+    in both directions without a theta join, in time that grows with an entity's rows, not with their square.  Of samples
+    at one time, the one with the greatest value counts before it and the one with the least after it.
     """
     a = samples.select(*entity, F.col(t).alias("__t"), F.col(value).cast("double").alias("__v"), F.lit(0).alias("__kind"))
     b = wanted.select(*entity, F.col(at).alias("__t"), F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__kind"))
-    w = Window.partitionBy(*entity).orderBy("__t", "__kind")
+    forth = Window.partitionBy(*entity).orderBy("__t", "__kind", "__v")
+    back = Window.partitionBy(*entity).orderBy(F.desc("__t"), F.desc("__kind"), F.desc("__v"))
     sample = F.when(F.col("__kind") == 0, F.struct(F.col("__t").alias("t"), F.col("__v").alias("v")))
     both = a.unionByName(b)
-    both = both.withColumn("__from", F.last(sample, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    both = both.withColumn("__to", F.first(sample, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    both = both.withColumn("__from", F.last(sample, ignorenulls=True).over(forth.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.withColumn("__to", F.last(sample, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
     share = (F.col("__t") - F.col("__from.t")) / (F.col("__to.t") - F.col("__from.t"))
     out = F.when(F.col("__from").isNull(), None).when(F.col("__to").isNull(), F.col("__from.v")).otherwise(F.col("__from.v") + (F.col("__to.v") - F.col("__from.v")) * share)
     return both.where("__kind = 1").select(*entity, F.col("__t").alias(at), out.alias(value))

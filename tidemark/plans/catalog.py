@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemark.functions import exprs as X
@@ -584,14 +585,6 @@ def codec_diff_roundtrip(spark, d):
     return out.select("o_orderkey", "s.status", F.round("s.price", 4).alias("price"), "s.priority")
 
 
-@query()
-def codec_sizes(spark, d):
-    """Bytes of full states and of differences; a difference is never much larger than the state."""
-    c = StateColumns(ORDER_SCHEMA, "Order")
-    both = order_states(spread(orders_a(spark, d)), "a").join(order_states(orders_b(spark, d), "b"), "o_orderkey")
-    return both.select("o_orderkey", F.length(c.encode(F.col("b"))).alias("full_bytes"), F.length(c.encode_diff(F.col("a"), F.col("b"))).alias("diff_bytes"))
-
-
 # ---- streams
 
 FULL_EVERY, LOST = 20, 13
@@ -638,14 +631,22 @@ def batch_client_fold(spark, d):
 
 @query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS messages, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_bandwidth_tumbling(spark, d):
-    """Event-time windows with a watermark; complete mode ends all windows when the input ends."""
+    """Event-time windows with a watermark.
+
+    Update mode: a batch writes the windows that it changed, the last batch's row of a window counts, and the watermark
+    lets go of windows that can't change any more.
+    """
     e = table(spark, d, "events")
     source = scratch(spark, "events")
     e.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").write.parquet(source)
     stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(source)
     windows = clients.tumbling(stream, "ts", "1 day", "1 hour", F.col("value"), ("event_type",))
     out = scratch(spark, "windows")
-    query_ = windows.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).option("checkpointLocation", scratch(spark, "window-checkpoint")).outputMode("complete").trigger(availableNow=True).start()
+    query_ = windows.writeStream.foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{out}/batch={k}")).option("checkpointLocation", scratch(spark, "window-checkpoint")).outputMode("update").trigger(availableNow=True).start()
     clients.finish(query_)
-    result = spark.read.schema(windows.schema).parquet(out)
+    changed = spark.read.schema(T.StructType([*windows.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    result = H.latest(changed, ["event_type", "start"], ["messages", "total"], ["batch"])
     return result.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), "messages", F.round("total", 4).alias("total"))
+
+
+from tidemark.plans import wire_queries  # noqa: E402, F401  (registers its queries, with names defined above)

@@ -44,9 +44,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one of the cluster; a temporary one where none is set (tests, local runs)."""
+    """A new folder below the shared one of the cluster; where none is set, a temporary one if the master is local, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-scratch-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root}/tidemark-{uuid.uuid4().hex}-{name}"

@@ -136,3 +136,16 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     """Run what is there now to the end into Parquet, exactly once, and read the result; see `finish` for the timeout."""
     finish(stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start(), timeout)
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def frame(baseline: Column, payload: Column) -> Column:
+    """A datagram: the baseline's tick in four bytes, least first (0 for a full state), then the payload; null if either is."""
+    big = F.unhex(F.lpad(F.hex(baseline.cast("long")), 8, "0"))
+    return F.concat(*[F.substring(big, i, 1) for i in (4, 3, 2, 1)], payload)
+
+
+def unframe(datagram: Column) -> tuple[Column, Column]:
+    """Baseline and payload of a datagram; null where it is shorter than its prefix."""
+    whole = F.octet_length(datagram) >= 4
+    prefix = F.concat(*[F.hex(F.substring(datagram, i, 1)) for i in (4, 3, 2, 1)])
+    return F.when(whole, F.conv(prefix, 16, 10).cast("long")), F.when(whole, F.substring(datagram, F.lit(5), F.octet_length(datagram)))
