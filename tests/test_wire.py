@@ -150,7 +150,7 @@ def test_many_strings_decode_in_linear_time():
     from tidemark.functions.schema import parse_schema
     from tidemark.functions.wire import Codec
 
-    codec = Codec(parse_schema("Names: {held: string[]}"), "Names")
+    codec = Codec(parse_schema("Names:\n  held: string[]"), "Names")
     old, new = {"held": [f"a{i}" for i in range(20_000)]}, {"held": [f"b{i // 2}" for i in range(20_000)]}
     data = codec.encode_diff(old, new)
     began = time.perf_counter()

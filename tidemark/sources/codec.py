@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tidemark.functions.flat import FlatCodec
 from tidemark.functions.schema import Array, Map, Object, Optional, Ref, Schema, Type, Union, to_spark, too_deep
 from tidemark.functions.wire import EPSILON, Codec, WireError
 
@@ -111,6 +112,8 @@ class StateColumns:
         kinds, self.recursive = _reached(schema, Ref(root))
         # without maps and unions, and within the depth, an Arrow value is a state as it is
         self.plain = not kinds & {Map, Union} and not self.recursive
+        #: Batch by batch for flat states; what it leaves goes value by value.
+        self.flat = FlatCodec.of(schema, root, epsilon)
         self.type: T.DataType = loosened(to_spark(schema, Ref(root), depth))
 
     def _states(self, column: pa.Array) -> list:
@@ -139,27 +142,31 @@ class StateColumns:
     def encode(self, state: Column) -> Column:
         @F.arrow_udf(T.BinaryType())
         def encode_state(a: pa.Array) -> pa.Array:
-            return pa.array(self._apply(self.codec.encode, self._states(a)), pa.binary())
+            out = self.flat.encode(a) if self.flat else None
+            return out if out is not None else pa.array(self._apply(self.codec.encode, self._states(a)), pa.binary())
 
         return encode_state(state)
 
     def decode(self, data: Column) -> Column:
         @F.arrow_udf(self.type)
         def decode_state(a: pa.Array) -> pa.Array:
-            return self._column(self._apply(self.codec.decode, a.to_pylist()))
+            out = self.flat.decode(a, to_arrow_type(self.type)) if self.flat else None
+            return out if out is not None else self._column(self._apply(self.codec.decode, a.to_pylist()))
 
         return decode_state(data)
 
     def encode_diff(self, old: Column, new: Column) -> Column:
         @F.arrow_udf(T.BinaryType())
         def encode_difference(a: pa.Array, b: pa.Array) -> pa.Array:
-            return pa.array(self._apply(self.codec.encode_diff, self._states(a), self._states(b)), pa.binary())
+            out = self.flat.encode_diff(a, b) if self.flat else None
+            return out if out is not None else pa.array(self._apply(self.codec.encode_diff, self._states(a), self._states(b)), pa.binary())
 
         return encode_difference(old, new)
 
     def decode_diff(self, old: Column, data: Column) -> Column:
         @F.arrow_udf(self.type)
         def decode_difference(a: pa.Array, d: pa.Array) -> pa.Array:
-            return self._column(self._apply(self.codec.decode_diff, self._states(a), d.to_pylist()))
+            out = self.flat.decode_diff(a, d, to_arrow_type(self.type)) if self.flat else None
+            return out if out is not None else self._column(self._apply(self.codec.decode_diff, self._states(a), d.to_pylist()))
 
         return decode_difference(old, data)
