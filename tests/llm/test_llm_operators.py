@@ -722,7 +722,10 @@ def test_sample_of_many_classes_is_bounded(spark):
     from tidemark.llm.samples import sample_ids
 
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 600, F.concat(F.lit("g"), F.col("id") % 3)).otherwise(F.col("id").cast("string")).alias("lang"))
-    got = Counter(r.s_class for r in sample_ids(df, "doc_id", "lang", 50, 10).collect())
+    rows = sample_ids(df, "doc_id", "lang", 50, 10).collect()
+    by_hash = df.where("lang = 'g1'").orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52)), "doc_id").collect()
+    assert [(r.doc_id, k) for k, r in enumerate(by_hash[:50], 1)] == [(r.s_id, r.s_at) for r in sorted(rows, key=lambda r: r.s_at) if r.s_class == "g1"]
+    got = Counter(r.s_class for r in rows)
     assert len(got) == 10 and all(got[f"g{i}"] == 50 for i in range(3))
 
 
