@@ -130,9 +130,12 @@ def _search_all(docs: DataFrame, text_col: str, names: dict[str, str], part, win
 
     def over(batches):
         for batch in batches:
-            words = [words_of(t) for t in text_bytes(batch.column(at))]
-            counts = pa.array([len(w) for w in words], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, counts, *_arrays([search(matchers, w) for w in words])], names=schema.names)
+            counts, found = [], []
+            for text in text_bytes(batch.column(at)):
+                words = words_of(text)
+                counts.append(len(words))
+                found.append(search(matchers, words))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64()), *_arrays(found)], names=schema.names)
 
     return docs.mapInArrow(over, schema)
 
