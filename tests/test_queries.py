@@ -29,17 +29,17 @@ def test_scans_are_pruned(spark, sf_dir):
 
 def test_mutators_over_whole_arrays(spark, sf_dir):
     sizes = catalog.table(spark, sf_dir, "events").groupBy("user_id").count().collect()
-    out = catalog.QUERIES["array_mutators_whole"](spark, sf_dir).where("edit = 'push'").collect()
+    out = catalog.QUERIES["array_mutators"](spark, sf_dir).where("edit = 'push'").collect()
     assert {r.user_id: r.size for r in out} == {r.user_id: r["count"] + 1 for r in sizes}
 
 
 def test_operators_asked_in_full(spark, sf_dir):
     events = catalog.table(spark, sf_dir, "events")
-    assert catalog.QUERIES["interpolate_asof_all"](spark, sf_dir).count() == events.count()
-    equal = catalog.QUERIES["array_equals_whole"](spark, sf_dir)
+    assert catalog.QUERIES["interpolate_asof"](spark, sf_dir).count() == events.count()
+    equal = catalog.QUERIES["array_equals"](spark, sf_dir)
     assert equal.where("user_id >= 0 and equal").count() == 0 and equal.where("user_id < 0 and not equal").count() == 0
 
 
 def test_baselines_without_user_0(spark, sf_dir, tmp_path):
     catalog.table(spark, sf_dir, "events").where("user_id <> 0").write.parquet(str(tmp_path / "events.parquet"))
-    assert catalog.QUERIES["baseline_all_users"](spark, str(tmp_path)).where("message = 'diff'").count() > 0
+    assert catalog.QUERIES["baseline_full_or_diff"](spark, str(tmp_path)).where("message = 'diff'").count() > 0

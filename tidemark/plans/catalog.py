@@ -151,8 +151,7 @@ def array_patch(spark, d):
     return both.select("user_id", F.posexplode(patched).alias("pos", "value"))
 
 
-MUTATORS_SQL = "l AS (SELECT user_id, list(value ORDER BY ts, event_id)[1:12] AS v FROM events GROUP BY 1)"
-WHOLE_MUTATORS_SQL = "l AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1)"
+MUTATORS_SQL = "l AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1)"
 
 
 def array_edits(a: DataFrame) -> DataFrame:
@@ -165,13 +164,6 @@ def array_edits(a: DataFrame) -> DataFrame:
 
 @query(f"WITH {MUTATORS_SQL}, m AS (SELECT user_id, 'push' AS edit, v || [9.5::DOUBLE] AS w, v FROM l UNION ALL SELECT user_id, 'pop', v[1:len(v) - 1], v FROM l UNION ALL SELECT user_id, 'shift', v[2:], v FROM l UNION ALL SELECT user_id, 'unshift', [9.5::DOUBLE] || v, v FROM l UNION ALL SELECT user_id, 'splice', v[1:2] || [9.5::DOUBLE] || v[5:], v FROM l UNION ALL SELECT user_id, 'length', v[1:4], v FROM l UNION ALL SELECT user_id, 'reverse', list_reverse(v), v FROM l UNION ALL SELECT user_id, 'sort', list_sort(v), v FROM l UNION ALL SELECT user_id, 'fill', v[1:1] || list_transform(v[2:3], lambda x: 0::DOUBLE) || v[4:], v FROM l UNION ALL SELECT user_id, 'copy', (v[4:6] || v[4:])[1:len(v)], v FROM l) SELECT user_id, edit, CAST(len(w) AS INT) AS size, w[1] AS first, w[-1] AS last, CAST(len(list_filter(range(1, len(w) + 1), lambda i: v[i] IS DISTINCT FROM w[i])) AS INT) AS touched FROM m")
 def array_mutators(spark, d):
-    """Each edit of a user's first twelve values, with the number of positions it touches."""
-    a, _ = user_arrays(spark, d)
-    return array_edits(a.select("user_id", F.slice("v", 1, 12).alias("v")))
-
-
-@query(ORACLES["array_mutators"].replace(MUTATORS_SQL, WHOLE_MUTATORS_SQL))
-def array_mutators_whole(spark, d):
     """Each edit of all of a user's values, with the number of positions it touches."""
     a, _ = user_arrays(spark, d)
     return array_edits(a)
@@ -220,19 +212,8 @@ def struct_equals(spark, d):
     return a.join(b, "o_orderkey").select("o_orderkey", X.equals(Schema({}), t, F.col("a"), F.col("b")).alias("equal"))
 
 
-@query(f"WITH {ARRAYS_SQL}, j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(abs(a.value - b.value) < 0.001, false) AS same FROM a FULL JOIN b ON a.user_id = b.user_id AND a.pos = b.pos WHERE coalesce(a.pos, b.pos) % 7 <> 0) SELECT user_id, bool_and(same) AS equal FROM j GROUP BY 1")
-def array_equals(spark, d):
-    a, b = user_arrays(spark, d)
-    both = a.join(b.withColumnRenamed("v", "w"), "user_id")
-
-    def rest(c):
-        return F.filter(F.col(c), lambda _, i: i % 7 != 0)
-
-    return both.select("user_id", rest("v").alias("v"), rest("w").alias("w")).select("user_id", X.equals(Schema({}), Array(Float()), F.col("v"), F.col("w")).alias("equal"))
-
-
 @query(f"WITH {ARRAYS_SQL}, j AS (SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(abs(a.value - b.value) < 0.001, false) AS same FROM a FULL JOIN b ON a.user_id = b.user_id AND a.pos = b.pos) SELECT user_id, bool_and(same) AS equal FROM j GROUP BY 1 UNION ALL SELECT DISTINCT -1 - user_id, true FROM a")
-def array_equals_whole(spark, d):
+def array_equals(spark, d):
     """Whole arrays against their variant and, under -1 - user_id, against themselves."""
     a, b = user_arrays(spark, d)
     both = a.join(b.withColumnRenamed("v", "w"), "user_id").unionByName(a.select((-1 - F.col("user_id")).alias("user_id"), "v", F.col("v").alias("w")))
@@ -443,16 +424,9 @@ def multi_baseline_diff(spark, d):
     return latest.groupBy("client", "user_id").agg(F.count(F.lit(1)).alias("items"), F.max("version").alias("version"))
 
 
-@query(f"WITH {TICKS_SQL}, h AS (SELECT DISTINCT tick FROM t WHERE user_id = 0 AND tick > 10), c AS (SELECT user_id AS client, max(tick) // 2 AS acked FROM t GROUP BY 1) SELECT client, acked, CASE WHEN h.tick IS NULL THEN 'full' ELSE 'diff' END AS message, h.tick AS baseline FROM c LEFT JOIN h ON h.tick = acked")
-def baseline_full_or_diff(spark, d):
-    t = ticks(spark, d)
-    clients_ = t.groupBy(F.col("user_id").alias("client")).agg(F.floor(F.max("tick") / 2).alias("acked"))
-    return H.choose_baseline(clients_, t.where("user_id = 0 and tick > 10"), "acked", "tick")
-
-
 @query(f"WITH {TICKS_SQL}, h AS (SELECT DISTINCT tick FROM t), c AS (SELECT user_id AS client, max(tick) // 2 AS acked FROM t GROUP BY 1) SELECT client, acked, CASE WHEN h.tick IS NULL THEN 'full' ELSE 'diff' END AS message, h.tick AS baseline FROM c LEFT JOIN h ON h.tick = acked")
-def baseline_all_users(spark, d):
-    """The same choice with the ticks of all users as history."""
+def baseline_full_or_diff(spark, d):
+    """A difference where the history, the ticks of all users, holds what the client acknowledged."""
     t = ticks(spark, d)
     clients_ = t.groupBy(F.col("user_id").alias("client")).agg(F.floor(F.max("tick") / 2).alias("acked"))
     return H.choose_baseline(clients_, t, "acked", "tick")
@@ -484,24 +458,18 @@ def redundant_window(spark, d):
     return H.redundant_window(ticks(spark, d), ["user_id"], ["tick"], "event_id", 5).select("user_id", "tick", F.array_join(F.col("sent").cast("array<string>"), ",").alias("sent"))
 
 
-@query(f"WITH {TICKS_SQL}, s AS (SELECT user_id, epoch_us(ts) AS at, value FROM t), w AS (SELECT user_id, epoch_us(ts) + 1800000000 AS at FROM t WHERE tick % 5 = 0), b AS (SELECT w.user_id, w.at, (SELECT max(s.at) FROM s WHERE s.user_id = w.user_id AND s.at <= w.at) AS f, (SELECT min(s.at) FROM s WHERE s.user_id = w.user_id AND s.at > w.at) AS g FROM w) SELECT b.user_id, b.at, round(CASE WHEN g IS NULL THEN x.value ELSE x.value + (y.value - x.value) * ((b.at - f)::DOUBLE / (g - f)) END, 6) AS value FROM b LEFT JOIN s x ON x.user_id = b.user_id AND x.at = f LEFT JOIN s y ON y.user_id = b.user_id AND y.at = g")
-def interpolate_asof(spark, d):
-    t = ticks(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    wanted = t.where("tick % 5 = 0").select("user_id", (F.col("t") + 1_800_000_000).alias("at"))
-    return H.interpolate(t, wanted, ["user_id"], "t", "value", "at").select("user_id", "at", F.round("value", 6).alias("value"))
-
-
 @query(f"WITH {TICKS_SQL}, s AS (SELECT user_id, epoch_us(ts) AS at, value FROM t), w AS (SELECT user_id, s.at + 1800000000 AS at FROM s), x AS (SELECT w.user_id, w.at, s.at AS f, s.value AS v FROM w ASOF JOIN s ON s.user_id = w.user_id AND s.at <= w.at) SELECT x.user_id, x.at, round(CASE WHEN s.at IS NULL THEN v ELSE v + (s.value - v) * ((x.at - f)::DOUBLE / (s.at - f)) END, 6) AS value FROM x ASOF LEFT JOIN s ON s.user_id = x.user_id AND s.at > x.at")
-def interpolate_asof_all(spark, d):
+def interpolate_asof(spark, d):
     """Values half an hour after every tick."""
     t = ticks(spark, d).withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
     wanted = t.select("user_id", (F.col("t") + 1_800_000_000).alias("at"))
     return H.interpolate(t, wanted, ["user_id"], "t", "value", "at").select("user_id", "at", F.round("value", 6).alias("value"))
 
 
-@query(f"WITH {TICKS_SQL}, r AS (SELECT user_id, tick, tick - lag(tick) OVER (PARTITION BY user_id ORDER BY tick) - 1 AS g FROM t WHERE event_id % 7 <> 0), x AS (SELECT user_id, tick, coalesce(g, 0) AS gap, sum(coalesce(g, 0)) OVER w AS lost, count(*) OVER w AS received FROM r WINDOW w AS (PARTITION BY user_id ORDER BY tick ROWS 99 PRECEDING)) SELECT user_id, tick, gap, CAST(lost AS BIGINT) AS lost, received, round(100.0 * lost / (received + lost), 6)::DOUBLE AS loss_pct FROM x")
+@query(f"WITH {TICKS_SQL}, k AS (SELECT user_id, tick + tick // 6 AS tick FROM t), r AS (SELECT user_id, tick, tick - lag(tick) OVER (PARTITION BY user_id ORDER BY tick) - 1 AS g FROM k), x AS (SELECT user_id, tick, coalesce(g, 0) AS gap, sum(coalesce(g, 0)) OVER w AS lost, count(*) OVER w AS received FROM r WINDOW w AS (PARTITION BY user_id ORDER BY tick ROWS 99 PRECEDING)) SELECT user_id, tick, gap, CAST(lost AS BIGINT) AS lost, received, round(100.0 * lost / (received + lost), 6)::DOUBLE AS loss_pct FROM x")
 def loss_window_100(spark, d):
-    t = ticks(spark, d).where("event_id % 7 <> 0").select("user_id", "tick")
+    """Every seventh message of a user is missing from the ticks."""
+    t = ticks(spark, d).select("user_id", (F.col("tick") + F.floor(F.col("tick") / 6)).alias("tick"))
     return H.loss_window(t, ["user_id"], "tick").withColumn("loss_pct", F.round("loss_pct", 6))
 
 

@@ -98,19 +98,20 @@ b AS (SELECT user_id, pos, CASE WHEN pos % 7 = 0 THEN value + 1 ELSE value END A
 
 
 def user_maps(spark: SparkSession, d: str) -> DataFrame:
-    """(user_id, a, b): counts by event type of odd and of even events, as maps."""
+    """(user_id, a, b): counts by event type of odd and of even events, as maps; for every other user b has signups as logins."""
     e = table(spark, d, "events")
+    kind = F.when((F.col("event_id") % 2 == 0) & (F.col("user_id") % 2 == 0) & (F.col("event_type") == "signup"), "login").otherwise(F.col("event_type"))
 
     def counts(odd: int, name: str) -> DataFrame:
-        c = e.where(F.col("event_id") % 2 == odd).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
-        return c.where("n <> 9").groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias(name))
+        c = e.where(F.col("event_id") % 2 == odd).groupBy("user_id", kind.alias("event_type")).agg(F.count(F.lit(1)).alias("n"))
+        return c.groupBy("user_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("event_type", "n")))).alias(name))
 
     empty = F.create_map().cast("map<string,bigint>")
     return counts(1, "a").join(counts(0, "b"), "user_id", "full_outer").select("user_id", F.coalesce("a", empty).alias("a"), F.coalesce("b", empty).alias("b"))
 
 
 MAPS_SQL = """
-c AS (SELECT user_id, event_type, event_id % 2 AS odd, count(*) AS n FROM events GROUP BY ALL HAVING count(*) <> 9),
+c AS (SELECT user_id, CASE WHEN event_id % 2 = 0 AND user_id % 2 = 0 AND event_type = 'signup' THEN 'login' ELSE event_type END AS event_type, event_id % 2 AS odd, count(*) AS n FROM events GROUP BY ALL),
 u AS (SELECT DISTINCT user_id FROM c),
 a AS (SELECT user_id, event_type, n FROM c WHERE odd = 1),
 b AS (SELECT user_id, event_type, n FROM c WHERE odd = 0)
