@@ -39,7 +39,7 @@ SMALLEST_LARGE, LARGEST_SMALL = 192, 256
 MARGIN = 0.153
 CHUNK_BYTES = 500_000
 #: Classes of one band that meet in one block.
-BLOCK = 384
+BLOCK = 256
 #: And the shingles of a block's classes (8 bytes each), so that long documents make smaller blocks.
 BLOCK_SHINGLES = 1_000_000
 #: Document ids up to this many (8 bytes each) are broadcast to fetch texts; beyond, the join shuffles.
