@@ -159,6 +159,26 @@ def test_sharding(spark, tmp_path):
     assert sharding.shard(brute.frame(spark, rows[:0])).count() == 0
 
 
+def test_large_groups_under_one_prefix(spark):
+    """Two large groups whose digests begin alike are units of their own, so each gets a shard of its own."""
+    seen, texts = {}, None
+    while texts is None:
+        t = f"text {len(seen)}"
+        head = hashlib.md5(t.encode()).hexdigest()[: sharding.UNIT_DIGITS]
+        texts = (seen[head], t) if head in seen else None
+        seen.setdefault(head, t)
+    rows = brute.corpus(3, 60) + [(2000 + i, texts[i % 2], "en", "a") for i in range(8000)]
+    got = sharding.shard(brute.frame(spark, rows)).collect()
+    homes = defaultdict(set)
+    for r in got:
+        homes[r.shard].add(r.text_crc32)
+    own = [zlib.crc32(t.encode()) for t in texts]
+    assert sorted(next(iter(c)) for c in homes.values() if c & set(own)) == sorted(own) and all(len(c) == 1 for c in homes.values() if c & set(own))
+    assert sharding.unit_starts(spark.createDataFrame([], "digest long, size long")).count() == 0
+    sizes = spark.createDataFrame([(5, 100), (5, 100), (6, 100), (9, 1), (1 << 50, 3)], "digest long, size long")
+    assert [(r.prefix, sorted(r.starts)) for r in sharding.unit_starts(sizes, 1).collect()] == [(0, [5, 6, 6, 7])]
+
+
 # ---- 3 near duplicates
 
 
