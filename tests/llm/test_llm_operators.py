@@ -182,8 +182,9 @@ def test_large_groups_under_one_prefix(spark):
 # ---- 3 near duplicates
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_near_duplicates(spark, tmp_path, seed):
+@pytest.mark.parametrize(("seed", "broadcast"), [(4, 200_000), (5, 0)])
+def test_near_duplicates(spark, tmp_path, monkeypatch, seed, broadcast):
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", broadcast)
     rows = brute.corpus(seed, 120)
     got = neardup.op3_neardup(spark, table_of(spark, tmp_path, rows)).collect()
     want = brute.near_components(rows)
@@ -478,7 +479,9 @@ def test_forms():
 # ---- 8 lines
 
 
-def test_lines(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [0, 500_000])
+def test_lines(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(lines, "BROADCAST_LINES", broadcast)
     r = random.Random(4)
     menu, rare = ["Home | About", "  All rights reserved ", "only four"], [f"line {i}" for i in range(60)]
     rows = []
@@ -509,6 +512,16 @@ def test_lines(spark, tmp_path):
     assert lines.remove_boilerplate(brute.frame(spark, rows[:0]))[0].count() == 0
 
 
+def test_texts_with_many_boilerplate_lines(spark):
+    """Every number of hits from none to many, in long texts."""
+    menus = [f"menu {i}" for i in range(300)]
+    rows = [(i, "\n".join(menus), "en", f"site{i}") for i in range(lines.MIN_SITES)]
+    rows += [(100 + n, "\n".join(f"own {n} {i}\n{menus[(7 * i) % 300]}" if i < n else f"own {n} {i}" for i in range(max(n, 3))), "en", "a") for n in [*range(20), 63, 64, 65, 300, 2000]]
+    out, names = lines.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = {r.doc_id: r[names["kept"]] for r in out.collect()}
+    assert got == {d: "\n".join(x for x in t.split("\n") if x not in menus) for d, t, *_ in rows}
+
+
 # ---- 9 passages
 
 
@@ -584,7 +597,9 @@ def test_automaton_extends():
 # ---- 10 mixing
 
 
-def test_mixing(spark, tmp_path):
+@pytest.mark.parametrize("broadcast", [0, 20_000])
+def test_mixing(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
     rows = brute.corpus(12, 200)
     got = mixing.op10_mix(spark, table_of(spark, tmp_path, rows)).collect()
     assert sorted((r.doc_id, r["size"]) for r in got) == sorted((d, len(brute.white_words(t))) for d, t, *_ in rows)

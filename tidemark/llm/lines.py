@@ -30,6 +30,12 @@ def blank(line: Column) -> Column:
     return F.trim(line) == ""
 
 
+def _among(x: Column) -> Column:
+    """Whether `x` is among `hashes` (sorted): the last place that isn't above it, found by the powers of two in `steps`."""
+    place = F.aggregate("steps", F.lit(0), lambda at, by: F.when(F.try_element_at("hashes", at + by) <= x, at + by).otherwise(at))
+    return (place > 0) & (F.try_element_at("hashes", F.greatest(place, F.lit(1))) == x)
+
+
 def spread_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, near: float = NEAR) -> DataFrame:
     """(line): 64-bit hashes of the non-blank lines that stand on `min_sites` sites or more.  A null site is none."""
     found = docs.select(F.col(f"`{site_col}`").cast("string").alias("site"), F.explode(F.array_distinct(F.transform(F.filter(lines_of(F.col(f"`{text_col}`")), lambda x: ~blank(x)), lambda x: F.xxhash64(x)))).alias("line")).where("site is not null")
@@ -59,9 +65,12 @@ def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str
     # rows without a text match nothing; a key of their own keeps them apart
     whole = whole.withColumn("key", F.coalesce(F.md5(text), F.xxhash64(*salt).cast("string")))
     own = whole.select("key", F.explode(F.array_distinct(F.transform(lines_of(text), lambda x: F.xxhash64(x)))).alias("line")).join(boilerplate, "line", "left_semi")
-    own = own.groupBy("key").agg(F.collect_set("line").alias("hashes"), F.count(F.lit(1)).alias("n"))
+    own = own.groupBy("key").agg(F.array_sort(F.collect_set("line")).alias("hashes"), F.count(F.lit(1)).alias("n"))
+    # a line is looked up in its text's list by halving, so a long text costs its lines times the logarithm of its hits
+    powers = F.sequence(F.floor(F.log2(F.size("hashes"))).cast("int"), F.lit(0), F.lit(-1))
+    own = own.withColumn("steps", F.transform(powers, lambda i: F.call_function("shiftleft", F.lit(1), i)))
     joined = spread_join(whole, own.drop("n"), ["key"], own.select("key", "n"), salt, "left")
-    kept = F.filter(lines_of(text), lambda x: blank(x) | ~F.array_contains("hashes", F.xxhash64(x)))
+    kept = F.filter(lines_of(text), lambda x: blank(x) | ~_among(F.xxhash64(x)))
     kept = F.when(F.col("hashes").isNull(), lines_of(text)).otherwise(kept)
     out = joined.withColumn("kept", kept)
     n = F.coalesce(F.size(lines_of(text)), F.lit(0))
