@@ -302,6 +302,9 @@ def _open_band_links(members: DataFrame, merged: DataFrame, reps: DataFrame, doc
     met = mine.withColumn("x", F.explode(F.when(F.col("minor"), F.concat(as_any, as_minor)).otherwise(as_any)))
     met = met.select("band", "x.i", "x.j", "x.side", "rep", "comp", "minor", "place", "lo", "hi", "n", "small", "large")
     hope = stored(met.groupBy("band", "i", "j").applyInArrow(_open_pairs, "band long, i int, j int, rep long, partners array<long>"), "neardup-hope")
+    if hope.isEmpty():
+        drop_stored(labelled, bands, hope)
+        return docs.sparkSession.createDataFrame([], "a long, b long")
     sets = _full_sets(docs, hope.select("rep"))
     links = stored(hope.join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_open_links, "a long, b long").distinct(), "neardup-links")
     drop_stored(labelled, bands, hope, sets)
@@ -336,8 +339,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = same.unionByName(_hub_links(members, reps, docs))
     merged = components(links)
     more = _open_band_links(members, merged, reps, docs)
-    drop_stored(members, reps, merged)
-    merged = components(links.unionByName(more))
+    drop_stored(members, reps)
+    if not more.isEmpty():
+        drop_stored(merged)
+        merged = components(links.unionByName(more))
 
     found = classes.join(merged, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     rows = sketched.select("id", F.col("n").alias("n_shingles"), "s1", "s2")
