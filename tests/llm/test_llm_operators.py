@@ -717,6 +717,39 @@ def test_components_of_a_large_star(spark):
     assert set(got.values()) == {5} and len(got) == 2995 + 41
 
 
+@pytest.mark.parametrize("bound", [0, 3033, 3034])
+def test_components_on_both_sides_of_the_bound(spark, monkeypatch, bound):
+    """Stars and a path from high to low, with a loop and repeats: 3034 links merged in the driver or by steps."""
+    monkeypatch.setattr(components, "DRIVER_LINKS", bound)
+    links = [(i, 5) for i in range(6, 2000)] + [(5000 - i, 4999 - i) for i in range(40)] + [(2**40 + i, -7) for i in range(999)] + [(9, 9), (5, 8)]
+    got = [(x.node, x.component) for x in components.components(spark.createDataFrame(links, "a long, b long")).collect()]
+    want = dict.fromkeys(range(5, 2000), 5) | dict.fromkeys(range(4960, 5001), 4960) | dict.fromkeys([-7, *range(2**40, 2**40 + 999)], -7)
+    assert len(got) == len(want) and dict(got) == want
+    assert components.components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == []
+
+
+def test_components_of_few_links_take_few_stages(spark):
+    """No step over all shuffle partitions where the links fit in the driver."""
+    links = spark.createDataFrame([(i, i // 2) for i in range(1, 500)], "a long, b long")
+    sc = spark.sparkContext
+    sc.setJobGroup("few-links", "")
+    try:
+        found = components.components(links)
+        assert {x.component for x in found.collect()} == {0}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    assert sum(len(tracker.getJobInfo(j).stageIds) for j in tracker.getJobIdsForGroup("few-links")) <= 6
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neardup_above_the_bound_of_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(components, "DRIVER_LINKS", 0)
+    rows = brute.corpus(7)
+    got = {(r.id, r.component) for r in neardup.near_duplicates(brute.frame(spark, rows)).collect()}
+    assert got == set(brute.near_components(rows).items())
+
+
 OUT = ["n_words", "spans", "items", "shard", "slot", "media", "parsed", "host", "path", "rule", "verdict", "from_set", "lang_pred", "score", "n_lines", "n_removed", "kept", "lang_lettered"]
 OWN = ["doc", "key", "n", "best", "hashes", "j_salt", "j_parts", "unit", "part", "id", "size", "rep", "band", "component", "n_shingles", "copies", "taken", "bucket", "fold", "label", "s_id", "s_class", "u_best", "line"]
 

@@ -262,7 +262,7 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b) of members a and hubs b -> those that the full sets link."""
     left, right = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left")), sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
     met = spread_join(pairs.join(left, "a"), right, ["b"], pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), ["a"])
-    return met.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long").distinct()
+    return met.select("a", "b", "left", "right").mapInArrow(_verified, "a long, b long")
 
 
 def _hub_links(members: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
@@ -306,7 +306,7 @@ def _open_band_links(members: DataFrame, merged: DataFrame, reps: DataFrame, doc
         drop_stored(labelled, bands, hope)
         return docs.sparkSession.createDataFrame([], "a long, b long")
     sets = _full_sets(docs, hope.select("rep"))
-    links = stored(hope.join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_open_links, "a long, b long").distinct(), "neardup-links")
+    links = stored(hope.join(sets, "rep").groupBy("band", "i", "j").applyInArrow(_open_links, "a long, b long"), "neardup-links")
     drop_stored(labelled, bands, hope, sets)
     return links
 
@@ -323,9 +323,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sketched = stored(docs.mapInArrow(_sketches, _SKETCHED), "neardup-sketches")
     filled = sketched.where("s1 is not null and id is not null")
-    classes = stored(filled.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k")), "neardup-classes")
-    own = filled.join(classes.select("s1", "s2", F.col("rep").alias("id")), ["s1", "s2", "id"])
-    reps = stored(own.dropDuplicates(["id", "s1", "s2"]).select(F.col("id").alias("rep"), "n", "small", "large"), "neardup-reps")
+    # equal sets have equal sketches, so the first will do
+    classes = stored(filled.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("k"), *[F.first(c).alias(c) for c in ("n", "small", "large")]), "neardup-classes")
+    reps = classes.select("rep", "n", "small", "large")
     # an id with several texts links their classes; nothing else can
     texts = sketched.where("id is not null").groupBy("id").agg(F.count_if(F.col("s1").isNull()).alias("none"), *[f("s1").alias(f"{f.__name__}1") for f in (F.min, F.max)], *[f("s2").alias(f"{f.__name__}2") for f in (F.min, F.max)])
     several = texts.where("min1 <> max1 or min2 <> max2 or (none > 0 and min1 is not null)").select("id")
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = same.unionByName(_hub_links(members, reps, docs))
     merged = components(links)
     more = _open_band_links(members, merged, reps, docs)
-    drop_stored(members, reps)
+    drop_stored(members)
     if not more.isEmpty():
         drop_stored(merged)
         merged = components(links.unionByName(more))
