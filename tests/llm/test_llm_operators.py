@@ -640,6 +640,37 @@ def test_apply_mix(spark):
     assert mixing.apply_mix(docs.limit(0)).count() == 0 and mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_apply_mix_leaves_texts_where_they_are(spark):
+    """Texts went through two shuffles: to their bucket, and again to number its rows."""
+    out = mixing.apply_mix(brute.frame(spark, brute.corpus(14, 60)))
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("broadcast", [0, 20_000])
+def test_apply_mix_takes_what_mix_draws(spark, monkeypatch, broadcast):
+    """Also where the document that an epoch ends with has others of the same id and size beside it, and where ids or words are missing."""
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    r = random.Random(15)
+    texts = [None, "", " \t", *(" ".join(r.choice("abcdefgh") for _ in range(k)) for k in (3, 3, 3, 5, 7))]
+    rows = [(r.choice([None, None, 1, 2]), r.choice(texts), "en", r.choice(["a", "b", None])) for _ in range(80)]
+    rows += [(7, "x y z " * 4 + str(i), "en", "one id and size") for i in range(50)] + [(i, f"w{i}", "en", "one word each") for i in range(9)] + [(8, None, "en", "no words")]
+    docs = brute.frame(spark, rows).repartition(5)
+    # a source's size tells it from the others
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(brute.white_words(t))
+    assert len({*sizes.values()}) == len(sizes)
+    want = Counter((d.id, d.source_size, n) for d in mixing.mix(docs).select("id", "source_size", "copies.words").collect() for n in d.words)
+    out = mixing.apply_mix(docs).collect()
+    assert Counter((d.doc_id, sizes[d.source], len(brute.white_words(d.text))) for d in out) == want
+    # a text is taken once an epoch, or the first words of it
+    assert max(Counter(d.text for d in out if d.source == "one id and size").values()) <= 2
+    whole = {(d, t, s) for d, t, _, s in rows}
+    cut = [d for d in out if (d.doc_id, d.text, d.source) not in whole]
+    assert len(cut) <= 2 * len(sizes)
+    assert all(any(d == c.doc_id and s == c.source and (t or "").startswith(c.text) for d, t, s in whole) for c in cut)
+
+
 def test_neardup_repeated_id_with_sets_of_one_size(spark):
     one, two = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
     rows = [(0, " ".join(one)), (0, " ".join(two)), (1, " ".join([*one, "x"])), (2, " ".join([*two, "y"]))]

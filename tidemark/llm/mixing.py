@@ -85,11 +85,13 @@ def _plan(narrow: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
 
 
 def _draw(rows: DataFrame, plan: DataFrame, offsets: DataFrame) -> DataFrame:
-    """`rows` with source_size, target, taken and copies."""
+    """`rows` with source_size, target, taken and copies; with quota, at (the words before it in its source), start and ties (of the rows that equal it in key, id and size: the least at, the count)."""
     columns = rows.columns
     rows = rows.join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
     inside = Window.partitionBy("o_source", "o_bucket").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("at", F.col("offset") + F.sum("size").over(inside) - F.col("size"))
+    equal = Window.partitionBy("o_source", "o_bucket", "key", "id", "size")  # where nobody reads start and ties, they aren't computed
+    rows = rows.withColumn("start", F.min("at").over(equal)).withColumn("ties", F.count(F.lit(1)).over(equal))
     rows = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")))
     first = F.least("quota", "source_size")
 
@@ -100,7 +102,53 @@ def _draw(rows: DataFrame, plan: DataFrame, offsets: DataFrame) -> DataFrame:
 
     copies = F.filter(F.array(copy(1, first, F.lit(0)), copy(2, F.col("quota") - first, first)), lambda c: c["words"] > 0)
     rows = rows.withColumn("copies", copies)
-    return rows.select(*columns, "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]).alias("taken"), "copies")
+    return rows.select(*columns, "source_size", "target", F.aggregate("copies", F.lit(0).cast("long"), lambda n, c: n + c["words"]).alias("taken"), "copies", "quota", "at", "start", "ties")
+
+
+def _cuts(drawn: DataFrame) -> DataFrame:
+    """(c_source, last1, last2): the last copies of a source's epochs, null where nothing is taken.
+
+    last: key, id and size of the document; ties, the documents that equal it in those, and ahead, those of them that are
+    taken whole before it; words, null for a whole copy.  All documents with words before it are taken whole in that
+    epoch, none after it: a source's words are taken from the first on, and one copy ends at the quota.
+    """
+    first = F.least("quota", "source_size")
+    ends = drawn.select("source", "key", "id", "size", "at", "start", "ties", F.explode("copies").alias("copy"), first.alias("q1"), (F.col("quota") - first).alias("q2"))
+    ends = ends.where(F.col("at") + F.col("copy.words") == F.when(F.col("copy.epoch") == 1, F.col("q1")).otherwise(F.col("q2")))
+    ahead = F.expr("(at - start) div size")
+    words = F.when(F.col("copy.words") < F.col("size"), F.col("copy.words"))
+    last = F.struct("key", "id", "size", "ties", ahead.alias("ahead"), words.alias("words"))
+    per = [F.max(F.when(F.col("copy.epoch") == e, last)).alias(f"last{e}") for e in (1, 2)]  # of one row
+    return ends.groupBy(F.col("source").alias("c_source")).agg(*per)
+
+
+def _epochs(rows: DataFrame, cuts: DataFrame, text: Column) -> DataFrame:
+    """`rows` (id, source, key and others) once for each copy that the mix takes, with words: null for a whole copy.
+
+    `text` is looked into for words, and its words are counted at a cut only.
+    """
+    columns, few = rows.columns, cuts.count() <= BROADCAST_SOURCES
+    rows = rows.join(F.broadcast(cuts) if few else cuts, F.col("source").eqNullSafe(F.col("c_source")))
+    here, epochs = F.struct("id", word_count(text).alias("size")), [F.col("last1"), F.col("last2")]
+    ends = [F.coalesce(F.col("key") == x["key"], F.lit(False)) & (here == F.struct(x["id"].alias("id"), x["size"].alias("size"))) for x in epochs]
+
+    if cuts.where("last1.ties > 1 or last2.ties > 1").isEmpty():
+        rows = rows.withColumn("number", F.lit(0))
+    else:  # documents that equal the last one are told apart by numbers
+        tied = F.lit(False)
+        for x, end in zip(epochs, ends, strict=True):
+            tied = tied | (end & (x["ties"] > 1))
+        number = F.row_number().over(Window.partitionBy("source", "key", "id", word_count(text)).orderBy(F.xxhash64(text))) - 1
+        rows = rows.where(~tied).withColumn("number", F.lit(0)).unionByName(rows.where(tied).withColumn("number", number))
+
+    def words(last: Column, end: Column) -> Column:
+        before = F.when(F.col("key") == last["key"], here < F.struct(last["id"].alias("id"), last["size"].alias("size"))).otherwise(F.col("key") < last["key"])
+        at_end = F.when(F.col("number") == last["ahead"], last["words"]).when(F.col("number") > last["ahead"], F.lit(0))
+        return F.when(last.isNull(), F.lit(0)).when(end, at_end).when(~before, F.lit(0))
+
+    some = F.coalesce(F.regexp_like(text, F.lit(WORD)), F.lit(False))
+    taken = F.filter(F.array(*[words(x, end) for x, end in zip(epochs, ends, strict=True)]), lambda n: n.isNull() | (n > 0))
+    return rows.where(some).select(*columns, F.explode(taken).alias("words"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", depth: int = TREE_DEPTH) -> DataFrame:
@@ -119,15 +167,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", chars_col: str = "n_chars", depth: int = TREE_DEPTH) -> DataFrame:
     """The mixed corpus, with the columns of `docs`: a row for each copy that the mix takes.
 
-    A copy cut short keeps its first words, joined by one space, and its own count of characters in `chars_col`.  Texts
-    travel once, to the bucket that their position comes from.
+    A copy cut short keeps its first words, joined by one space, and its own count of characters in `chars_col`.  The
+    copies are those of mix(): they are drawn over ids and sizes, and what a source's epochs end with is broadcast, so that
+    texts don't travel (but for those of full ties at an end, and beyond BROADCAST_SOURCES sources).
     """
     rows = _sized(docs, id_col, source_col, text_col)
-    narrow = stored(rows.drop("doc", "id"), "mix-sizes")
-    out = _draw(rows, *_plan(narrow, depth)).select("doc", "size", F.explode("copies").alias("copy"))
-    short = F.col("copy.words") < F.col("size")
+    narrow = stored(rows.drop("doc"), "mix-sizes")
+    cuts = stored(_cuts(_draw(narrow, *_plan(narrow, depth))), "mix-cuts")
     text = F.col("doc")[text_col]
-    cut = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""), 1, F.col("copy.words").cast("int")), " ")
+    out = _epochs(rows.select("doc", "id", "source", "key"), cuts, text)
+    short = F.col("words").isNotNull()
+    cut = F.array_join(F.slice(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda x: x != ""), 1, F.col("words").cast("int")), " ")
     changed = {text_col: F.when(short, cut).otherwise(text)}
     if chars_col in docs.columns:
         changed[chars_col] = F.when(short, F.length(cut).cast(docs.schema[chars_col].dataType)).otherwise(F.col("doc")[chars_col])
